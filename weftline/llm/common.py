@@ -189,6 +189,18 @@ def finish_blocks(rows: DataFrame, answers: DataFrame, finish: Callable[[int, by
     return rows.groupBy("kind", "key").cogroup(answers.groupBy("kind", "key")).applyInArrow(run, spark_schema)
 
 
+def segments(*keys: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of each stretch of equal neighbours."""
+    if not len(keys[0]):
+        return []
+    new = np.zeros(len(keys[0]), bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    edge = np.flatnonzero(new)
+    return list(zip(edge.tolist(), [*edge[1:].tolist(), len(new)], strict=True))
+
+
 def split_by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted 64-bit hashes -> (bucket numbers present, bounds); buckets are equal ranges of the hash."""
     where = bucket_of(hashes, buckets)

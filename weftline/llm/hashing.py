@@ -94,3 +94,24 @@ def cover(starts: np.ndarray, width: int, total: int) -> np.ndarray:
     np.add.at(marks, starts, 1) if len(starts) < 1000 else marks.__iadd__(np.bincount(starts, minlength=total + 1).astype(np.int32))
     marks[width:] -= marks[: total + 1 - width].copy() if total + 1 > width else 0
     return np.cumsum(marks[:total]) > 0
+
+
+def rolling(data: bytes, width: int) -> np.ndarray:
+    """Hash of data[i:i+width) for every i, document edges not minded."""
+    values = BYTE_VALUE[np.frombuffer(data, np.uint8)]
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    sums = prefix(values, _BYTE_BASE)
+    _, down = powers(_BYTE_BASE, len(values))
+    return mix64((sums[width:] - sums[:-width]) * down[:n])
+
+
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of every ``width`` neighbours, by doubling."""
+    span, out = 1, values
+    while span * 2 <= width:
+        out = np.minimum(out[:-span], out[span:])
+        span *= 2
+    rest = width - span
+    return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from weftline.llm import substring_dedup
+from weftline.llm import byte_bpe, simhash_dedup, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op3_byte_bpe": byte_bpe.op3_byte_bpe,
+    "op4_simhash_dedup": simhash_dedup.op4_simhash_dedup,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}

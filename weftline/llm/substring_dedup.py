@@ -99,8 +99,7 @@ def _merge(bucket: int, parts: list[tuple[int, bytes]]) -> list[tuple[int, int,
     h, block = h[late], block[late]
     order = np.argsort(block, kind="stable")
     h, block = h[order], block[order]
-    edge = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.empty(0, np.int64)
-    return [(0, int(block[a]), bucket, common.pack_sorted(h[a:b])) for a, b in zip(edge, [*edge[1:], len(block)], strict=True)]
+    return [(0, int(block[a]), bucket, common.pack_sorted(h[a:b])) for a, b in common.segments(block)]
 
 
 def _finish(width: int, with_text: bool):
