@@ -7,7 +7,7 @@ import xxhash
 from tests.llm.helpers import corpus
 
 from weftline.llm.components import connected
-from weftline.llm.simhash_dedup import covering_masks, hamming_links, near_duplicates
+from weftline.llm.simhash_dedup import covering_masks, hamming_links, near_duplicates, one_of_each
 
 
 def brute_fp(text):
@@ -80,3 +80,11 @@ def test_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_one_of_each(spark):
+    rows = [(3, "a b c d e f", "x"), (1, "A b c  d e f", None), (2, None, "y"), (None, "", "z"), (7, "g h i j k l m", "v"), (7, "g h i j k l m", "u"), (None, "only here now", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    got = sorted(map(tuple, one_of_each(docs).collect()), key=str)
+    assert got == sorted([rows[1], rows[2], rows[5], rows[6]], key=str)
+    assert one_of_each(docs.limit(0)).collect() == []

@@ -18,6 +18,7 @@ entry a block and no more.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from collections.abc import Callable, Iterable, Iterator
@@ -44,9 +45,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The two columns an operator needs, under names of its own: extra columns cannot clash."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str, rest: list[str] | None = None) -> DataFrame:
+    """The two columns an operator needs, under names of its own: extra columns cannot clash.
+
+    ``rest`` names columns that travel along as JSON."""
+    own = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
+    if rest is not None:
+        own.append(F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)])).alias("rest") if rest else F.lit("{}").alias("rest"))
+    return docs.select(*own)
 
 
 def zip_bytes(data: bytes) -> bytes:
@@ -89,17 +95,18 @@ def unpack_arrays(data: bytes) -> list[np.ndarray]:
 class Block:
     """Documents of one block, ascending by doc_id (null ids last), as one UTF-8 buffer."""
 
-    def __init__(self, ids: np.ndarray, known: np.ndarray, offsets: np.ndarray, data: bytes):
-        self.ids, self.known, self.offsets, self.data = ids, known, offsets, data
+    def __init__(self, ids: np.ndarray, known: np.ndarray, offsets: np.ndarray, data: bytes, rest: list[str] | None = None):
+        self.ids, self.known, self.offsets, self.data, self.rest = ids, known, offsets, data, rest
 
     @classmethod
-    def of(cls, rows: list[tuple[int | None, bytes]]) -> Block:
-        rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    def of(cls, rows: list[tuple[int | None, bytes, str | None]]) -> Block:
+        rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or ""))
         return cls(
             np.array([r[0] or 0 for r in rows], np.int64),
             np.array([r[0] is not None for r in rows], bool),
             np.cumsum([0, *(len(r[1]) for r in rows)], dtype=np.int64),
             b"".join(r[1] for r in rows),
+            [r[2] or "{}" for r in rows] if rows and rows[0][2] is not None else None,
         )
 
     def __len__(self) -> int:
@@ -113,13 +120,15 @@ class Block:
 
     def pack(self) -> bytes:
         head = pack_arrays(self.ids, self.known.view(np.uint8), self.offsets)
-        return struct.pack("<q", len(head)) + head + zip_bytes(self.data)
+        rest = b"" if self.rest is None else zip_bytes(json.dumps(self.rest).encode())
+        return struct.pack("<qq", len(head), len(rest)) + head + rest + zip_bytes(self.data)
 
     @classmethod
     def unpack(cls, payload: bytes) -> Block:
-        (n,) = struct.unpack_from("<q", payload)
-        ids, known, offsets = unpack_arrays(payload[8 : 8 + n])
-        return cls(ids, known.view(bool), offsets, unzip_bytes(payload[8 + n :]))
+        n, m = struct.unpack_from("<qq", payload)
+        ids, known, offsets = unpack_arrays(payload[16 : 16 + n])
+        rest = json.loads(unzip_bytes(payload[16 + n : 16 + n + m])) if m else None
+        return cls(ids, known.view(bool), offsets, unzip_bytes(payload[16 + n + m :]), rest)
 
 
 def blocks_of(batches: Iterable[pa.RecordBatch], block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, Block]]:
@@ -127,13 +136,14 @@ def blocks_of(batches: Iterable[pa.RecordBatch], block_bytes: int = BLOCK_BYTES)
     from pyspark import TaskContext
 
     base, seq = TaskContext.get().partitionId() << 24, 0
-    rows: list[tuple[int | None, bytes]] = []
+    rows: list[tuple[int | None, bytes, str | None]] = []
     size = 0
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())
-        for i, text in zip(ids, texts, strict=True):
+        rest = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * len(ids)
+        for i, text, other in zip(ids, texts, rest, strict=True):
             raw = text.as_py() or b""
-            rows.append((i, raw))
+            rows.append((i, raw, other))
             size += len(raw)
             if size >= block_bytes or len(rows) >= BLOCK_DOCS:
                 yield base | seq, Block.of(rows)

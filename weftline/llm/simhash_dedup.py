@@ -64,6 +64,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return common.keyed_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
 
+def _with_fingerprint(rows: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """(doc_id, text_hash, text) -> (doc_id, text_hash, fp)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).cast(pa.large_binary())
+            fps = np.fromiter((fingerprint(t.as_py() or b"", shingle, seed) for t in texts), np.uint64, len(texts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "text_hash", "fp"])
+
+    return rows.mapInArrow(run, "doc_id long, text_hash string, fp long")
+
+
 def covering_masks(radius: int = RADIUS) -> list[int]:
     """The tables' masks; positions get nonzero vectors in turn, in a fixed shuffled order."""
     n = (1 << (radius + 1)) - 1
@@ -158,5 +170,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return all_fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, cell: int = CELL) -> DataFrame:
+    """docs with one document of each component, columns unchanged.
+
+    The document of the smallest id stays; of rows that share it, one with the smallest text.  A component
+    of rows without ids keeps one row by the same order."""
+    spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
+    columns = docs.columns
+    own = docs.select(F.struct(*columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # what a group needs to know of a row: narrow, so no text moves for it
+    narrow = own.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_hash"), "text")
+    marked = _with_fingerprint(narrow, shingle, seed).checkpoint()
+    distinct = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")).alias("first")).checkpoint()
+    roots = connected(hamming_links(distinct.select("fp"), radius, cell))
+    labelled = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    winners = labelled.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_hash")
+    hashed = own.withColumn("text_hash", F.sha2(F.coalesce("text", F.lit("")), 256))
+    winners = winners.withColumnRenamed("doc_id", "w_id").withColumnRenamed("text_hash", "w_hash")
+    kept = hashed.join(winners, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")), "left_semi")
+    # rows equal in id and text: one
+    alone = kept.groupBy("doc_id", "text_hash").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return alone.select("row.*")
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))
