@@ -181,7 +181,7 @@ def _oracle() -> str:
     return rf"""
 WITH t AS (SELECT row_number() OVER () AS k, doc_id, lang AS stratum, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
-  list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
 win AS (SELECT k, i, list_aggregate(words[i:i+{WINDOW - 1}], 'string_agg', ' ') AS s
   FROM (SELECT k, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM w)),
 rep AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, s) AS n FROM win) WHERE n > 1),
@@ -196,7 +196,7 @@ lab AS (SELECT doc_id, min(quality) AS good FROM labels WHERE doc_id IS NOT NULL
 held AS (SELECT b.*, good FROM b JOIN lab ON lab.doc_id = b.doc_id WHERE NOT base_failed),
 tests AS ({tests}),
 counted AS (SELECT stratum, rule, cutoff, lenient, count(*) FILTER (good > 0) AS n, count(*) FILTER (good > 0 AND hit) AS lost, count(*) FILTER (good = 0 AND hit) AS caught FROM tests GROUP BY ALL),
-tail AS (SELECT c.*, list_sum(list_transform(range(0, lost + 1), i -> exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) AS pv FROM counted c WHERE n > 0),
+tail AS (SELECT c.*, list_sum(list_transform(range(0, lost + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) AS pv FROM counted c WHERE n > 0),
 safe AS (SELECT *, caught - 10 * lost AS gain FROM tail WHERE pv <= {DELTA} / (greatest(1, (SELECT count(*) FROM (SELECT DISTINCT stratum FROM held))) * {len(grid)})),
 chosen AS (SELECT stratum, rule, cutoff FROM (SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, lenient DESC) AS r FROM safe WHERE gain > 0) WHERE r = 1)
 SELECT f.doc_id, f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, f.base_failed, NOT f.base_failed AND NOT ({rejected}) AS kept
