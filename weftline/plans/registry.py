@@ -1,14 +1,656 @@
-"""Queries of the passage-link operators and the SQL that gives the same rows."""
+"""Queries of the passage-link operators and the SQL that gives the same rows.
+
+Each query runs one operator over a whole table.  The documents table serves as notes through ``org_view``, the
+embeddings table as chunk vectors with their label as note, the conversations as chunks in a heading.  What the
+tables lack (links, verdicts, a manifest) is derived from their ids, in the same way on both sides."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from weftline.config import Settings
+from weftline.functions import anchoring, text, vectors
+from weftline.operators import chunk, exclude, finalize, frontend, judge, parse, refresh, retrieve
+from weftline.sources.corpus import org_view
+from weftline.streaming.watch import newer_than_watermark
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+SETTINGS = Settings()
+
+
+def query(name: str, sql: str | None = None):  # noqa: ANN201
+    def add(f: Callable[[SparkSession, str], DataFrame]):  # noqa: ANN202
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["select_candidates"](spark, sf_dir)
+
+
+# -- notes -------------------------------------------------------------------
+
+ORG = r"""
+org AS (
+  SELECT 'notes/doc_' || doc_id || '.org' AS path, 'doc-' || doc_id AS note_id, coalesce(lang, '') || ' ' || doc_id AS title,
+    ':PROPERTIES:' || chr(10) || ':ID: doc-' || doc_id || chr(10) || ':END:' || chr(10) || '#+title: ' || coalesce(lang, '') || ' ' || doc_id || chr(10)
+    || array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: CASE WHEN i % 10 = 0 THEN '** ' || x WHEN i % 5 = 0 THEN '* ' || x ELSE x END), chr(10))
+    || chr(10) || '[[id:doc-' || ((doc_id * 7) % 1000) || ']]' AS text
+  FROM documents)"""
+LINES = (
+    ORG
+    + r""",
+lines AS (SELECT path, note_id, length(text) AS len, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM org),
+placed AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY path ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun FROM lines),
+heads AS (
+  SELECT *, length(regexp_extract(line, '^(\*+)[ \t]', 1)) AS level,
+    regexp_replace(regexp_replace(regexp_replace(line, '^\*+[ \t]+', ''), '^(?:TODO|DONE)[ \t]+', ''), '[ \t]+(?::[\w@#%]+)+:[ \t]*$', '') AS head
+  FROM placed WHERE regexp_matches(line, '^\*+[ \t]+')),
+spans AS (
+  SELECT *, row_number() OVER w AS number, coalesce(lead(begun) OVER w, len) AS stop,
+    last_value(CASE WHEN level = 1 THEN head END IGNORE NULLS) OVER (PARTITION BY path ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above
+  FROM heads WINDOW w AS (PARTITION BY path ORDER BY n))"""
+)
+
+
+def _notes(spark: SparkSession, d: str) -> DataFrame:
+    return parse.parse_notes(org_view(_t(spark, d, "documents")))
+
+
+@query("parse_notes", f"WITH {ORG} SELECT path, note_id, title, CAST(length(text) AS INTEGER) AS n_chars FROM org")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _notes(spark, d).select("path", "note_id", "title", F.length("text").alias("n_chars"))
+
+
+@query(
+    "parse_headings",
+    f"""WITH {LINES} SELECT path, note_id, trim(head) AS text, CAST(level AS INTEGER) AS level, CAST(begun AS INTEGER) AS char_start, CAST(stop AS INTEGER) AS char_end,
+      CAST(number AS INTEGER) AS "index", CASE WHEN level > 1 AND above IS NOT NULL THEN trim(above) ELSE '' END AS ancestors FROM spans""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return parse.headings_of(_notes(spark, d)).select("path", "note_id", "text", "level", "char_start", "char_end", "index", F.array_join("ancestor_path", " > ").alias("ancestors"))
+
+
+@query(
+    "parse_links",
+    f"""WITH {ORG} SELECT path, note_id, regexp_extract(text, '\\[\\[id:(doc-[0-9]+)\\]\\]$', 1) AS target_uuid, CAST(NULL AS VARCHAR) AS search_string,
+      CAST(length(text) - length(regexp_extract(text, '\\[\\[id:doc-[0-9]+\\]\\]$')) AS INTEGER) AS char_start, CAST(length(text) AS INTEGER) AS char_end FROM org""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return parse.links_of(_notes(spark, d)).select("path", "note_id", "target_uuid", "search_string", "char_start", "char_end")
+
+
+@query("title_from_path", "SELECT url, trim(translate(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '(?i)\\.org$', ''), '_-', '  ')) AS title FROM pages")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "pages").select("url", text.title_from_path(F.col("url")).alias("title"))
+
+
+@query(
+    "note_title",
+    f"WITH {ORG} SELECT path, title FROM org",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return org_view(_t(spark, d, "documents")).select("path", text.note_title(F.col("text"), F.col("path")).alias("title"))
+
+
+@query(
+    "alias_tokens",
+    """WITH v AS (SELECT doc_id, '"' || coalesce(lang, 'x') || ' ' || doc_id || '" ' || coalesce(source, 'y') || ' ""' AS value FROM documents)
+      SELECT doc_id, coalesce(lang, 'x') || ' ' || doc_id || '|' || coalesce(source, 'y') AS aliases FROM v JOIN documents USING (doc_id)""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    value = F.concat(F.lit('"'), F.coalesce("lang", F.lit("x")), F.lit(" "), F.col("doc_id").cast("string"), F.lit('" '), F.coalesce("source", F.lit("y")), F.lit(' ""'))
+    return _t(spark, d, "documents").select("doc_id", F.array_join(text.alias_tokens(value), "|").alias("aliases"))
+
+
+@query(
+    "heading_text",
+    r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(raw, '^(?:TODO|DONE)[ \t]+', ''), '[ \t]+(?::[\w@#%]+)+:[ \t]*$', ''), ' ') AS heading
+      FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'TODO ' WHEN 1 THEN 'DONE  ' ELSE '' END || regexp_replace(text, '\s+', ' ', 'g') || CASE turn % 2 WHEN 0 THEN ' :a:b_1:' ELSE '' END AS raw FROM conversations)""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    lead = F.when(F.col("turn") % 3 == 0, "TODO ").when(F.col("turn") % 3 == 1, "DONE  ").otherwise("")
+    tail = F.when(F.col("turn") % 2 == 0, " :a:b_1:").otherwise("")
+    raw = F.concat(lead, F.regexp_replace("text", r"\s+", " "), tail)
+    return _t(spark, d, "conversations").select("conv_id", "turn", text.heading_text(raw).alias("heading"))
+
+
+# -- chunks ------------------------------------------------------------------
+
+
+@query(
+    "segments",
+    f"""WITH {LINES},
+      first AS (SELECT path, min(begun) AS stop FROM heads GROUP BY path)
+      SELECT o.path, CAST(0 AS INTEGER) AS heading_index, CAST(0 AS INTEGER) AS body_start, CAST(coalesce(f.stop, length(o.text)) AS INTEGER) AS body_end FROM org o LEFT JOIN first f USING (path)
+      UNION ALL SELECT path, CAST(number AS INTEGER), CAST(least(begun + length(line) + 1, stop) AS INTEGER), CAST(stop AS INTEGER) FROM spans""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    notes = _notes(spark, d)
+    first = F.coalesce(F.get("headings", F.lit(0))["char_start"], F.length("text"))
+    preamble = F.struct(F.lit(0).alias("heading_index"), F.lit(0).alias("body_start"), first.alias("body_end"))
+    bodies = F.transform(
+        "headings",
+        lambda h: F.struct(
+            h["index"].alias("heading_index"),
+            F.least(h["char_end"], h["char_start"] + F.length(F.substring_index(F.substring("text", h["char_start"] + 1, h["char_end"] - h["char_start"]), "\n", 1)) + 1).alias("body_start"),
+            h["char_end"].alias("body_end"),
+        ),
+    )
+    return notes.select("path", F.explode(F.concat(F.array(preamble), bodies)).alias("s")).select("path", "s.*")
+
+
+_KINDS = {"paragraph": r"\n\n", "line": r"\n", "sentence": r"[.!?]\s+", "word": " "}
+
+
+@query(
+    "split_pieces",
+    " UNION ALL ".join(
+        f"""SELECT doc_id, '{k}' AS separator, CAST(len(p) AS INTEGER) AS n, CAST(coalesce(list_max(list_transform(p, lambda x: length(x))), 0) AS INTEGER) AS longest, array_to_string(p, '') = text AS whole
+        FROM (SELECT doc_id, text, list_filter(regexp_extract_all(text, '(?s)(?:.*?{v}|.+\\z)'), lambda x: x <> '') AS p FROM documents WHERE text IS NOT NULL)"""
+        for k, v in _KINDS.items()
+    ),
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    docs = _t(spark, d, "documents").where("text is not null")
+    cut = F.array(*[F.struct(F.lit(k).alias("separator"), text.split_keeping(F.col("text"), k).alias("p")) for k in _KINDS])
+    rows = docs.select("doc_id", "text", F.explode(cut).alias("c"))
+    longest = F.coalesce(F.array_max(F.transform("c.p", F.length)), F.lit(0))
+    return rows.select("doc_id", "c.separator", F.size("c.p").alias("n"), longest.alias("longest"), (F.array_join("c.p", "") == F.col("text")).alias("whole"))
+
+
+@query("breadcrumbs", f"WITH {LINES} SELECT s.path, CAST(number AS INTEGER) AS heading_index, array_to_string(list_filter([o.title, CASE WHEN level > 1 THEN trim(above) END, trim(head)], lambda x: x IS NOT NULL AND x <> ''), ' > ') AS crumbs FROM spans s JOIN org o ON o.path = s.path")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = _notes(spark, d).select("path", "title", F.explode("headings").alias("h"))
+    return rows.select("path", F.col("h.index").alias("heading_index"), text.breadcrumb(F.col("title"), F.col("h.ancestor_path"), F.col("h.text")).alias("crumbs"))
+
+
+@query("chunk_notes")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return chunk.chunk_notes(_notes(spark, d), SETTINGS)
+
+
+@query("embed_chunks")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    embed = vectors.embed_udf(lambda: vectors.hashing_embedder(64), SETTINGS.embed_batch)
+    return chunk.chunk_notes(_notes(spark, d), SETTINGS).select("note_uuid", "ordinal", embed(F.col("embed_text")).alias("embedding"))
+
+
+@query("neighbours", "SELECT conv_id, turn, coalesce(lag(text) OVER w, lead(text) OVER w) AS neighbour FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "conversations").withColumn("heading", F.lit(1))
+    return judge.with_neighbour(rows, "text", "conv_id", "heading", "turn").select("conv_id", "turn", "neighbour")
+
+
+# -- retrieval ---------------------------------------------------------------
+
+
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    vec = _t(spark, d, "embeddings")
+    note = F.concat(F.lit("n"), F.col("label").cast("string"))
+    return vec.select(F.col("vec_id").alias("src"), note.alias("src_note"), F.col("embedding").alias("v")), vec.select(F.col("vec_id").alias("tgt"), note.alias("tgt_note"), F.col("embedding").alias("v"))
+
+
+KNN = """
+v AS (SELECT vec_id, 'n' || label AS note, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+pairs AS (SELECT s.vec_id AS src, s.note AS src_note, t.vec_id AS tgt, t.note AS tgt_note, list_cosine_similarity(s.e, t.e) AS sim FROM v s JOIN v t ON s.note <> t.note),
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sim DESC, tgt) AS pos FROM pairs) WHERE pos <= 8)"""
+
+
+@query("knn_join", f"WITH {KNN} SELECT src, tgt, CAST(pos AS INTEGER) AS pos, round(sim, 6) AS sim FROM hits")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    left, right = _sides(spark, d)
+    return retrieve.knn(left, right, SETTINGS.top_k).select("src", "tgt", "pos", F.round("sim", 6).alias("sim"))
+
+
+@query("knn_excluding", f"WITH {KNN.replace('ON s.note <> t.note', "ON s.note <> t.note AND t.note NOT IN ('n1', 'n2')")} SELECT src, tgt, CAST(pos AS INTEGER) AS pos, round(sim, 6) AS sim FROM hits")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    left, right = _sides(spark, d)
+    return retrieve.knn(left, right, SETTINGS.top_k, ["n1", "n2"]).select("src", "tgt", "pos", F.round("sim", 6).alias("sim"))
+
+
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    left, right = _sides(spark, d)
+    return retrieve.knn(left, right, SETTINGS.top_k).join(left.select("src", "src_note"), "src")
+
+
+PAIRED = """
+a AS (SELECT *, min(src * 1000 + pos) OVER (PARTITION BY src_note, tgt) AS fs, row_number() OVER (PARTITION BY src_note, tgt ORDER BY sim DESC, src) AS rn FROM hits),
+b AS (SELECT * FROM a WHERE rn = 1)"""
+
+
+@query("best_pairing", f"WITH {KNN}, {PAIRED} SELECT src_note, tgt, src, CAST(pos AS INTEGER) AS pos, round(sim, 6) AS sim FROM b")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return retrieve.best_pairing(_hits(spark, d), ("src_note",)).select("src_note", "tgt", "src", "pos", F.round("sim", 6).alias("sim"))
+
+
+def _select_sql(floor: float) -> str:
+    return f"""
+c AS (SELECT *, min(fs) OVER (PARTITION BY src_note, src) AS gpos, row_number() OVER (PARTITION BY src_note, src ORDER BY sim DESC, fs) AS rk FROM b),
+d AS (SELECT *, row_number() OVER (PARTITION BY src_note ORDER BY rk, sim DESC, gpos) AS place FROM c WHERE sim >= {floor} AND rk <= 2)"""
+
+
+FLOOR = 0.3
+
+
+@query("select_candidates", f"WITH {KNN}, {PAIRED}, {_select_sql(FLOOR)} SELECT src_note, CAST(place AS INTEGER) AS place, src, tgt, CAST(rk AS INTEGER) AS rk, round(sim, 6) AS sim FROM d WHERE place <= 20")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    out = retrieve.select_candidates(_hits(spark, d), FLOOR, SETTINGS.per_source_n, SETTINGS.global_cap_m, ("src_note",))
+    return out.select("src_note", "place", "src", "tgt", "rk", F.round("sim", 6).alias("sim"))
+
+
+# -- exclusions --------------------------------------------------------------
+
+TARGETS = """
+about AS (SELECT vec_id AS tgt, 'n' || label AS tgt_note, CAST(vec_id % 4 AS INTEGER) AS tgt_heading_index, 'H' || (vec_id % 7) AS tgt_heading_text,
+  CASE WHEN vec_id % 5 = 0 THEN 'hid-' || (vec_id % 20) END AS tgt_heading_id FROM embeddings),
+notes AS (SELECT DISTINCT 'n' || label AS src_note, label FROM embeddings),
+links AS (SELECT src_note, 'n' || (label + 1) % 10 AS target_uuid, CAST(NULL AS VARCHAR) AS search_string FROM notes
+  UNION ALL SELECT src_note, 'n' || (label + 2) % 10, ' * H3 ' FROM notes
+  UNION ALL SELECT src_note, 'hid-' || (label % 4) * 5, NULL FROM notes)"""
+
+
+def _about(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("vec_id")
+    return _t(spark, d, "embeddings").select(
+        n.alias("tgt"),
+        F.concat(F.lit("n"), F.col("label").cast("string")).alias("tgt_note"),
+        (n % 4).cast("int").alias("tgt_heading_index"),
+        F.concat(F.lit("H"), (n % 7).cast("string")).alias("tgt_heading_text"),
+        F.when(n % 5 == 0, F.concat(F.lit("hid-"), (n % 20).cast("string"))).alias("tgt_heading_id"),
+    )
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    label = F.col("label")
+    own = F.concat(F.lit("n"), label.cast("string"))
+    kinds = F.array(
+        F.struct(F.concat(F.lit("n"), ((label + 1) % 10).cast("string")).alias("target_uuid"), F.lit(None).cast("string").alias("search_string")),
+        F.struct(F.concat(F.lit("n"), ((label + 2) % 10).cast("string")).alias("target_uuid"), F.lit(" * H3 ").alias("search_string")),
+        F.struct(F.concat(F.lit("hid-"), ((label % 4) * 5).cast("string")).alias("target_uuid"), F.lit(None).cast("string").alias("search_string")),
+    )
+    return _t(spark, d, "embeddings").select("label").distinct().select(own.alias("src_note"), F.explode(kinds).alias("l")).select("src_note", "l.*")
+
+
+@query(
+    "not_linked_chunks",
+    f"""WITH {KNN}, {TARGETS} SELECT h.src_note, h.src, h.tgt, CAST(h.pos AS INTEGER) AS pos FROM hits h JOIN about a USING (tgt)
+      WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.src_note = h.src_note AND (
+        (l.search_string IS NULL AND (l.target_uuid = a.tgt_heading_id OR (l.target_uuid = a.tgt_note AND a.tgt_heading_index = 0)))
+        OR (l.search_string IS NOT NULL AND l.target_uuid = a.tgt_note AND a.tgt_heading_text = trim(regexp_replace(trim(l.search_string), '^\\*', '')))))""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rich = _hits(spark, d).join(_about(spark, d), "tgt")
+    return exclude.not_linked_chunks(rich, _links(spark, d), ("src_note",)).select("src_note", "src", "tgt", "pos")
+
+
+@query("heading_ref", "SELECT DISTINCT source, trim(regexp_replace(trim(' * ' || source || ' '), '^\\*', '')) AS ref FROM documents WHERE source IS NOT NULL")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    own = F.concat(F.lit(" * "), F.col("source"), F.lit(" "))
+    return _t(spark, d, "documents").where("source is not null").select("source", text.heading_ref(own).alias("ref")).distinct()
+
+
+# -- judging -----------------------------------------------------------------
+
+
+@query(
+    "group_candidates",
+    f"""WITH {KNN}, {PAIRED}, {_select_sql(FLOOR)},
+      g AS (SELECT *, min(place) OVER (PARTITION BY src_note, tgt_note) AS first FROM d WHERE place <= 20)
+      SELECT src_note, tgt_note, tgt, CAST(row_number() OVER (PARTITION BY src_note, tgt_note ORDER BY place) AS INTEGER) AS label,
+        CAST(dense_rank() OVER (PARTITION BY src_note ORDER BY first) AS INTEGER) AS group_pos FROM g""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    picked = retrieve.select_candidates(_hits(spark, d), FLOOR, SETTINGS.per_source_n, SETTINGS.global_cap_m, ("src_note",))
+    noted = picked.join(_about(spark, d).select("tgt", "tgt_note"), "tgt")
+    return judge.group_candidates(noted, ("src_note",)).select("src_note", "tgt_note", "tgt", "label", "group_pos")
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """An answer for each document: fenced, bare or in prose; every fourth out of range."""
+    n = F.col("doc_id")
+    anchor = F.lit('{"mode": "wrap", "expect": "x", "insert_text": null}')
+    body = F.concat(
+        F.lit('{"suggestions": [{"candidate_id": 1, "type": "'),
+        F.when(n % 7 == 6, "unheard-of").otherwise("mention"),
+        F.lit('", "confidence": '),
+        (n % 4 + 1).cast("string"),
+        F.lit(', "why": "w'),
+        n.cast("string"),
+        F.lit('", "anchor": '),
+        anchor,
+        F.lit(', "target_is_note": true'),
+        F.when(n % 9 == 8, ', "extra": 1').otherwise(""),
+        F.lit("}]}"),
+    )
+    shaped = F.when(n % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(n % 3 == 1, body).otherwise(F.concat(F.lit("Here you are: "), body, F.lit(" Bye.")))
+    return _t(spark, d, "documents").select("doc_id", shaped.alias("answer"))
+
+
+@query(
+    "valid_verdicts",
+    """SELECT doc_id, bad AS invalid, CASE WHEN NOT bad THEN CAST(doc_id % 4 + 1 AS INTEGER) END AS confidence, CASE WHEN NOT bad THEN 'w' || doc_id END AS why
+      FROM (SELECT doc_id, doc_id % 4 = 3 OR doc_id % 7 = 6 OR doc_id % 9 = 8 AS bad FROM documents)""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return judge.valid_verdicts(_answers(spark, d)).select("doc_id", "invalid", "confidence", "why")
+
+
+# -- anchors -----------------------------------------------------------------
+
+
+def _phrases(spark: SparkSession, d: str) -> DataFrame:
+    """Each document with one benchmark passage to look for, and one phrase of its own."""
+    items = _t(spark, d, "benchmark").select("item_id", F.col("text").alias("phrase"))
+    n = items.count()
+    docs = _t(spark, d, "documents").where("text is not null").select("doc_id", F.col("text").alias("buffer"), (F.col("doc_id") % n).alias("item_id"))
+    return docs.join(items, "item_id")
+
+
+PHRASES = "phrases AS (SELECT d.doc_id, d.text AS buffer, b.text AS phrase, b.item_id FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark) WHERE d.text IS NOT NULL)"
+
+
+@query("anchor_exact", f"WITH {PHRASES} SELECT doc_id, item_id, CASE WHEN instr(buffer, phrase) > 0 THEN CAST(instr(buffer, phrase) - 1 AS INTEGER) END AS char_start FROM phrases")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _phrases(spark, d).select("doc_id", "item_id", anchoring.exact_offset(F.col("buffer"), F.col("phrase")).alias("char_start"))
+
+
+MIDDLE = """mid AS (SELECT doc_id, text AS buffer, CAST(length(text) // 3 AS INTEGER) AS s, CAST(length(text) // 2 AS INTEGER) AS e FROM documents WHERE text IS NOT NULL)"""
+
+
+@query("anchor_context", f"WITH {MIDDLE} SELECT doc_id, substr(buffer, greatest(s - 40, 0) + 1, s - greatest(s - 40, 0)) AS before, substr(buffer, e + 1, 40) AS after FROM mid")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    mid = _t(spark, d, "documents").where("text is not null").select("doc_id", "text", F.floor(F.length("text") / 3).cast("int").alias("s"), F.floor(F.length("text") / 2).cast("int").alias("e"))
+    return mid.select("doc_id", anchoring.context_before(F.col("text"), F.col("s")).alias("before"), anchoring.context_after(F.col("text"), F.col("e")).alias("after"))
+
+
+@query(
+    "resolve_anchors",
+    f"""WITH {PHRASES} SELECT doc_id, instr(buffer, phrase) > 0 AS exact FROM phrases WHERE instr(buffer, phrase) > 0""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = _phrases(spark, d).select("doc_id", "buffer", F.lit("wrap").alias("mode"), F.col("phrase").alias("expect"), F.lit(None).cast("string").alias("insert_text"))
+    found = anchoring.resolve_anchors(rows.where(F.instr(F.col("buffer"), F.col("expect")) > 0))
+    same = (F.substring("buffer", F.col("source_anchor.char_start") + 1, F.length("expect")) == F.col("expect")) & (F.col("source_anchor.expect") == F.col("expect"))
+    return found.select("doc_id", same.alias("exact"))
+
+
+@query("normalized_text", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\[\[[^\]]+\]\[([^\]]+)\]\]', '\1', 'g'), '\[\[([^\]]+)\]\]', '\1', 'g'), '\s+', ' ', 'g') AS shown FROM documents WHERE text IS NOT NULL")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").where("text is not null").select("doc_id", text.normalized(F.col("text")).alias("shown"))
+
+
+# -- ranking -----------------------------------------------------------------
+
+RAW = """
+raw AS (SELECT coalesce(source, '') AS note, doc_id AS pos, 'doc-' || (doc_id * 7 % 50) AS file_id, CASE WHEN doc_id % 3 > 0 THEN 'H' || (doc_id % 4) END AS heading_text,
+  CASE WHEN doc_id % 3 = 2 THEN 'hid-' || (doc_id % 8) END AS heading_id, CAST(doc_id % 3 + 1 AS INTEGER) AS confidence, lang AS type FROM documents),
+rawlinks AS (SELECT DISTINCT coalesce(source, '') AS note, 'doc-' || (length(coalesce(source, '')) * 3) AS target_uuid, CAST(NULL AS VARCHAR) AS search_string FROM documents
+  UNION SELECT DISTINCT coalesce(source, ''), 'doc-7', '*H1' FROM documents UNION SELECT DISTINCT coalesce(source, ''), 'hid-5', NULL FROM documents)"""
+
+
+def _raw(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    n = F.col("doc_id")
+    docs = _t(spark, d, "documents").withColumn("note", F.coalesce("source", F.lit("")))
+    rows = docs.select(
+        "note",
+        n.alias("pos"),
+        F.concat(F.lit("doc-"), (n * 7 % 50).cast("string")).alias("file_id"),
+        F.when(n % 3 > 0, F.concat(F.lit("H"), (n % 4).cast("string"))).alias("heading_text"),
+        F.when(n % 3 == 2, F.concat(F.lit("hid-"), (n % 8).cast("string"))).alias("heading_id"),
+        (n % 3 + 1).cast("int").alias("confidence"),
+        F.col("lang").alias("type"),
+    )
+    none = F.lit(None).cast("string")
+    kinds = F.array(
+        F.struct(F.concat(F.lit("doc-"), (F.length("note") * 3).cast("string")).alias("target_uuid"), none.alias("search_string")),
+        F.struct(F.lit("doc-7").alias("target_uuid"), F.lit("*H1").alias("search_string")),
+        F.struct(F.lit("hid-5").alias("target_uuid"), none.alias("search_string")),
+    )
+    return rows, docs.select("note").distinct().select("note", F.explode(kinds).alias("l")).select("note", "l.*")
+
+
+FREE = """
+free AS (SELECT * FROM raw r WHERE file_id <> 'doc-0' AND NOT EXISTS (SELECT 1 FROM rawlinks l WHERE l.note = r.note AND (
+    (l.search_string IS NULL AND r.heading_text IS NULL AND r.file_id = l.target_uuid) OR (l.search_string IS NULL AND r.heading_id = l.target_uuid)
+    OR (l.search_string IS NOT NULL AND r.file_id = l.target_uuid AND r.heading_text = 'H1'))))"""
+
+
+@query("not_linked_suggestions", f"WITH {RAW}, {FREE.replace("file_id <> 'doc-0' AND ", '')} SELECT note, pos FROM free")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows, links = _raw(spark, d)
+    return exclude.not_linked_suggestions(rows, links, ("note",)).select("note", "pos")
+
+
+@query(
+    "rank_suggestions",
+    f"""WITH {RAW}, {FREE},
+      one AS (SELECT *, min(pos) OVER k AS fp, row_number() OVER (PARTITION BY note, file_id, heading_text ORDER BY confidence DESC, pos) AS rn FROM free WINDOW k AS (PARTITION BY note, file_id, heading_text)),
+      ranked AS (SELECT *, row_number() OVER (PARTITION BY note ORDER BY confidence DESC, fp) AS r FROM one WHERE rn = 1)
+      SELECT note, 's' || lpad(CAST(r AS VARCHAR), 2, '0') AS id, CAST(r AS INTEGER) AS rank, pos, file_id, confidence FROM ranked WHERE r <= 12""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows, links = _raw(spark, d)
+    out = finalize.rank_suggestions(rows, links, "doc-0", SETTINGS.top_n, ("note",))
+    return out.select("note", "id", "rank", "pos", "file_id", "confidence")
+
+
+# -- refresh -----------------------------------------------------------------
+
+DIFF = """
+listing AS (SELECT 'doc_' || doc_id || '.org' AS path, CAST(1000 + doc_id AS DOUBLE) AS mtime, 'sha256:' || sha256(coalesce(text, '')) AS now FROM documents),
+manifest AS (SELECT 'doc_' || doc_id || '.org' AS path, 'doc-' || doc_id AS uuid, CASE WHEN doc_id % 7 = 0 THEN 'sha256:old' ELSE 'sha256:' || sha256(coalesce(text, '')) END AS content_hash,
+    CAST(1000 + doc_id - CASE WHEN doc_id % 3 = 0 THEN 5 ELSE 0 END AS DOUBLE) AS last_indexed_mtime FROM documents WHERE doc_id % 11 <> 0
+  UNION ALL SELECT 'gone_' || doc_id || '.org', 'doc-' || doc_id, 'sha256:x', 0 FROM documents WHERE doc_id % 13 = 0),
+states AS (SELECT l.path, l.mtime, l.now, m.content_hash AS old_hash, CASE WHEN m.path IS NULL THEN 'new' WHEN l.mtime > m.last_indexed_mtime THEN 'touched' ELSE 'untouched' END AS state
+  FROM listing l LEFT JOIN manifest m USING (path)),
+acts AS (SELECT *, CASE WHEN state = 'new' THEN 'index' WHEN state = 'untouched' OR now = old_hash THEN 'skip' ELSE 'reindex' END AS action, state = 'touched' AND now = old_hash AS watermark FROM states)"""
+
+
+def _diff(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A listing with texts, and a manifest that lacks some notes, is out of date on others, and knows some
+    that are gone."""
+    n = F.col("doc_id")
+    docs = _t(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    path = F.concat(F.lit("doc_"), n.cast("string"), F.lit(".org"))
+    listing = docs.select(path.alias("path"), (n + 1000).cast("double").alias("mtime"), "text")
+    uuid = F.concat(F.lit("doc-"), n.cast("string")).alias("uuid")
+    known = docs.where("doc_id % 11 <> 0").select(
+        path.alias("path"), uuid, F.when(n % 7 == 0, "sha256:old").otherwise(text.content_hash(F.col("text"))).alias("content_hash"), (n + 1000 - F.when(n % 3 == 0, 5).otherwise(0)).cast("double").alias("last_indexed_mtime")
+    )
+    gone = docs.where("doc_id % 13 = 0").select(F.concat(F.lit("gone_"), n.cast("string"), F.lit(".org")).alias("path"), uuid, F.lit("sha256:x").alias("content_hash"), F.lit(0.0).alias("last_indexed_mtime"))
+    return listing.select("path", "mtime"), listing.select("path", "text"), known.unionByName(gone)
+
+
+@query("refresh_classify", f"WITH {DIFF} SELECT path, state, action, watermark FROM acts")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    listing, texts, manifest = _diff(spark, d)
+    return refresh.confirm(refresh.classify(listing, manifest), texts).select("path", "state", "action", "watermark")
+
+
+@query("refresh_deletions", f"WITH {DIFF} SELECT path, uuid FROM manifest m WHERE NOT EXISTS (SELECT 1 FROM listing l WHERE l.path = m.path)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    listing, _, manifest = _diff(spark, d)
+    return refresh.deletions(listing, manifest).select("path", "uuid")
+
+
+@query(
+    "refresh_stats",
+    f"""WITH {DIFF} SELECT count(*) FILTER (action = 'index') AS indexed, count(*) FILTER (action = 'reindex') AS reindexed, count(*) FILTER (action = 'skip') AS skipped,
+      (SELECT count(*) FROM manifest m WHERE NOT EXISTS (SELECT 1 FROM listing l WHERE l.path = m.path)) AS deleted, count(*) FILTER (action <> 'skip') AS chunks FROM acts""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    listing, texts, manifest = _diff(spark, d)
+    confirmed = refresh.confirm(refresh.classify(listing, manifest), texts)
+    one_each = confirmed.where("action <> 'skip'").select("path")
+    return refresh.stats(confirmed, refresh.deletions(listing, manifest), one_each)
+
+
+@query("content_hash", "SELECT doc_id, 'sha256:' || sha256(text) AS content_hash FROM documents WHERE text IS NOT NULL")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").where("text is not null").select("doc_id", text.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query(
+    "changes_after_watermark",
+    """WITH e AS (SELECT 'u' || user_id AS path, max(epoch_us(ts) / 1e6) AS mtime FROM events GROUP BY 1),
+      m AS (SELECT 'u' || user_id AS path, avg(epoch_us(ts)) / 1e6 AS last_indexed_mtime FROM events WHERE user_id % 4 > 0 GROUP BY 1)
+      SELECT e.path, round(e.mtime, 3) AS mtime FROM e LEFT JOIN m USING (path) WHERE last_indexed_mtime IS NULL OR e.mtime > last_indexed_mtime""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("mtime"), "user_id")
+    m = e.where("user_id % 4 > 0").groupBy("path").agg(F.avg("mtime").alias("last_indexed_mtime"))
+    return newer_than_watermark(e.select("path", "mtime"), m).select("path", F.round("mtime", 3).alias("mtime"))
+
+
+@query(
+    "event_bursts",
+    """WITH s AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 10 MINUTE THEN 1 ELSE 0 END AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+      g AS (SELECT user_id, ts, sum(gap) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM s)
+      SELECT user_id, count(*) AS changes, CAST(epoch_us(min(ts)) AS BIGINT) AS start_us FROM g GROUP BY user_id, burst""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    out = e.groupBy("user_id", F.session_window("ts", "10 minutes").alias("w")).agg(F.count("*").alias("changes"))
+    return out.select("user_id", "changes", F.unix_micros("w.start").alias("start_us"))
+
+
+# -- the editor's side -------------------------------------------------------
+
+
+@query(
+    "assemble_links",
+    f"""WITH {RAW}, l AS (SELECT note, pos, '[[' || CASE WHEN heading_text IS NULL THEN 'id:' || file_id WHEN heading_id IS NOT NULL THEN 'id:' || heading_id ELSE 'id:' || file_id || '::*' || heading_text END || '][' || coalesce(type, '') || ']]' AS link, pos % 2 = 0 AS even FROM raw)
+      SELECT note, pos, link, CASE WHEN even THEN 'See ' || link || '.' ELSE link END AS filled FROM l""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows, _ = _raw(spark, d)
+    own = rows.withColumn("link_description", F.col("type")).withColumn("template", F.when(F.col("pos") % 2 == 0, "See {{link}}."))
+    return frontend.with_link(own).select("note", "pos", "link", "filled")
+
+
+@query("confident", f"WITH {RAW} SELECT note, pos FROM raw WHERE confidence >= 2")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return frontend.confident(_raw(spark, d)[0]).select("note", "pos")
+
+
+RANGES = """
+ranges AS (SELECT coalesce(source, '') AS note, doc_id AS id, doc_id AS pos, CAST(doc_id % 3 + 1 AS INTEGER) AS confidence, CAST(doc_id * 37 % 5000 AS INTEGER) AS beg, CAST(doc_id * 37 % 5000 + doc_id % 30 AS INTEGER) AS "end" FROM documents)"""
+
+
+def _ranges(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("doc_id")
+    beg = (n * 37 % 5000).cast("int")
+    return _t(spark, d, "documents").select(
+        F.coalesce("source", F.lit("")).alias("note"), n.alias("id"), n.alias("pos"), (n % 3 + 1).cast("int").alias("confidence"), beg.alias("beg"), (beg + n % 30).cast("int").alias("end")
+    )
+
+
+@query("overlapping_pairs", f'WITH {RANGES} SELECT a.note, a.id, b.id AS other FROM ranges a JOIN ranges b ON a.note = b.note AND a.id < b.id AND a.beg < b."end" AND b.beg < a."end" WHERE a."end" > a.beg AND b."end" > b.beg')
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return frontend.overlapping_pairs(_ranges(spark, d))
+
+
+@query("keep_without_overlap")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return frontend.keep_without_overlap(_ranges(spark, d)).select("note", "id", "kept")
+
+
+@query("navigation_order", f"WITH {RANGES} SELECT note, id, CAST(row_number() OVER (PARTITION BY note ORDER BY beg, pos) AS INTEGER) AS stop FROM ranges")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return frontend.navigation_order(_ranges(spark, d)).select("note", "id", "stop")
+
+
+@query("outcomes", f"WITH {RANGES} SELECT CASE WHEN confidence < 2 THEN 'low-confidence' WHEN id % 10 = 0 THEN 'unanchorable' WHEN id % 4 > 0 THEN 'kept' ELSE 'overlap-discarded' END AS outcome, count(*) AS n FROM ranges GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = _ranges(spark, d).withColumn("kept", F.col("id") % 4 > 0).withColumn("beg", F.when(F.col("id") % 10 != 0, F.col("beg")))
+    return frontend.outcomes(rows)
+
+
+@query(
+    "group_inserts",
+    """WITH i AS (SELECT coalesce(source, '') AS note, doc_id % 6 AS beg, string_agg('x' || doc_id, ' ' ORDER BY doc_id) AS t, count(*) AS n FROM documents GROUP BY 1, 2)
+      SELECT note, CAST(beg AS INTEGER) AS beg, CASE WHEN beg > 0 AND substr('ab cd', beg, 1) <> ' ' THEN ' ' ELSE '' END || t || CASE WHEN beg < 5 AND substr('ab cd', beg + 1, 1) <> ' ' THEN ' ' ELSE '' END AS text, CAST(n AS INTEGER) AS n FROM i""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "documents").select(
+        F.coalesce("source", F.lit("")).alias("note"), (F.col("doc_id") % 6).cast("int").alias("beg"), F.lit("ab cd").alias("buffer"), F.col("doc_id").alias("pos"), F.concat(F.lit("x"), F.col("doc_id").cast("string")).alias("filled")
+    )
+    return frontend.group_inserts(rows)
+
+
+@query(
+    "reanchor",
+    """SELECT doc_id, CAST(s AS INTEGER) AS beg, CAST(s + 20 AS INTEGER) AS "end" FROM (
+      SELECT doc_id, length(text) // 2 AS s, text FROM documents WHERE length(text) >= 2400)
+      WHERE len(string_split(text, substr(text, s + 1 - 40, 100))) = 2""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Anchors of long documents, guessed too far left; those whose surroundings are unique."""
+    docs = _t(spark, d, "documents").where("length(text) >= 2400").select("doc_id", F.col("text").alias("buffer"), F.floor(F.length("text") / 2).cast("int").alias("s"))
+    rows = docs.select(
+        "doc_id",
+        "buffer",
+        F.substring("buffer", F.col("s") - 39, F.lit(40)).alias("before"),
+        F.substring("buffer", F.col("s") + 1, F.lit(20)).alias("expect"),
+        F.substring("buffer", F.col("s") + 21, F.lit(40)).alias("after"),
+        (F.col("s") - 100).alias("char_start"),
+    )
+    once = rows.where(F.instr(F.substring("buffer", F.instr(F.col("buffer"), F.concat("before", "expect", "after")) + 100, F.length("buffer")), F.concat("before", "expect", "after")) == 0)
+    return frontend.reanchor(once).select("doc_id", "beg", "end")
+
+
+@query(
+    "describe",
+    "SELECT doc_id, '[' || lang || ', confidence ' || (doc_id % 3 + 1) || '] ' || source || ' -> ' || lang || ': ' || CASE WHEN length(text) > 120 THEN substr(text, 1, 120) || '...' ELSE text END AS line FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    docs = _t(spark, d, "documents").where("text is not null and lang is not null and source is not null")
+    return docs.select("doc_id", text.describe(F.col("lang"), F.col("doc_id") % 3 + 1, F.col("source"), F.col("lang"), F.col("text")).alias("line"))
+
+
+@query("suggestion_ids", "SELECT item_id, 's' || CASE WHEN item_id + 1 < 10 THEN '0' ELSE '' END || (item_id + 1) AS id FROM benchmark")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "benchmark").select("item_id", text.suggestion_id(F.col("item_id") + 1).alias("id"))
+
+
+@query("region_mode", f"WITH {RANGES} SELECT note, id, CASE WHEN \"end\" > beg THEN 'wrap' ELSE 'insert' END AS mode FROM ranges")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _ranges(spark, d).select("note", "id", text.region_mode(F.col("beg"), F.col("end")).alias("mode"))
+
+
+@query("excerpts", "SELECT doc_id, substr(text, 1, 600) AS excerpt FROM documents WHERE text IS NOT NULL")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").where("text is not null").select("doc_id", text.excerpt(F.col("text")).alias("excerpt"))
+
+
+@query(
+    "prompts",
+    f"""WITH {KNN}, {PAIRED}, {_select_sql(FLOOR)},
+      g AS (SELECT *, min(place) OVER (PARTITION BY src_note, tgt_note) AS first, row_number() OVER (PARTITION BY src_note, tgt_note ORDER BY place) AS label FROM d WHERE place <= 20),
+      p AS (SELECT src_note, tgt_note, first, 'Target note: ' || tgt_note || chr(10) || chr(10) || string_agg('Candidate ' || label || ' - ' || tgt_note || ' > ' || tgt || chr(10) || 'text ' || tgt, chr(10) || chr(10) ORDER BY label) AS question FROM g GROUP BY src_note, tgt_note, first)
+      SELECT src_note, tgt_note, CAST(row_number() OVER (PARTITION BY src_note ORDER BY first) AS INTEGER) AS group_pos, question FROM p""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    picked = retrieve.select_candidates(_hits(spark, d), FLOOR, SETTINGS.per_source_n, SETTINGS.global_cap_m, ("src_note",)).join(_about(spark, d).select("tgt", "tgt_note"), "tgt")
+    own = F.col("tgt").cast("string")
+    rich = picked.select("*", F.col("tgt_note").alias("tgt_title"), F.concat("tgt_note", F.lit(" > "), own).alias("tgt_crumbs"), F.concat(F.lit("text "), own).alias("tgt_text"), F.lit(None).cast("string").alias("neighbour"))
+    return judge.prompts(judge.group_candidates(rich, ("src_note",)), ("src_note",))
+
+
+@query("retrieval_order", "SELECT vec_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS INTEGER) AS ordinal FROM embeddings")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "embeddings").select("vec_id", F.row_number().over(W.partitionBy("label").orderBy("vec_id")).alias("ordinal"))
