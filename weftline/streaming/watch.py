@@ -23,7 +23,8 @@ def note_changes(events: DataFrame) -> DataFrame:
 
 def bursts(events: DataFrame, gap: str = "400 milliseconds", late: str = "1 minute") -> DataFrame:
     """One row for each burst of changes: those closer than the gap count as one."""
-    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("burst")).agg(F.count("*").alias("changes")).select("burst.start", "burst.end", "changes")
+    corpus = (F.length("path") >= 0).alias("corpus")  # one group: sessions need a key
+    return events.withWatermark("ts", late).groupBy(corpus, F.session_window("ts", gap).alias("burst")).agg(F.count("*").alias("changes")).select("burst.start", "burst.end", "changes")
 
 
 def latest_changes(events: DataFrame, late: str = "1 minute") -> DataFrame:
