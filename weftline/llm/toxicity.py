@@ -87,8 +87,8 @@ def _ratio(n: np.ndarray, a: np.ndarray, rows: int, positive: int) -> np.ndarray
     return 2 * (part(a, n * p) + part(n - a, n * (1 - p)) + part(positive - a, (rows - n) * p) + part(rows - n - positive + a, (rows - n) * (1 - p)))
 
 
-def _train(rows: list[list[int]], labels: np.ndarray, terms: int, factors: int, steps: int = 250, rate: float = 0.05, penalty: float = 1e-4) -> tuple[float, np.ndarray, np.ndarray]:
-    """Logistic loss, full-batch Adam; repeatable."""
+def _train(rows: list[list[int]], labels: np.ndarray, terms: int, factors: int, steps: int = 400, rate: float = 0.1, penalty: float = 1e-5, positive: float = 3.0) -> tuple[float, np.ndarray, np.ndarray]:
+    """Logistic loss with positive rows weighing ``positive`` (they are few), full-batch Adam; repeatable."""
     rng = np.random.default_rng(7)
     base = float(np.log(labels.mean() / (1 - labels.mean())))
     params = [np.array([base]), np.zeros(terms), rng.normal(0, 0.01, (terms, factors))]
@@ -96,6 +96,8 @@ def _train(rows: list[list[int]], labels: np.ndarray, terms: int, factors: int,
     col = np.fromiter((c for r in rows for c in r), np.int64)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     n = len(rows)
+    weigh = np.where(labels > 0, positive, 1.0)
+    weigh /= weigh.sum()
 
     def gather(values: np.ndarray) -> np.ndarray:
         return np.stack([np.bincount(row, weights=values[:, k], minlength=n) for k in range(values.shape[1])], axis=1)
@@ -105,7 +107,7 @@ def _train(rows: list[list[int]], labels: np.ndarray, terms: int, factors: int,
         own = v[col]
         total = gather(own)
         z = c[0] + np.bincount(row, weights=w[col], minlength=n) + 0.5 * (total**2 - gather(own**2)).sum(axis=1)
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / n
+        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * weigh
         e = error[row]
         pull = e[:, None] * (total[row] - own)
         grads = [
