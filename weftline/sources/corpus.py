@@ -45,9 +45,13 @@ def read_named(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
     return spark.read.format("binaryFile").load(names).select(_relative(F.col("path"), root).alias("path"), F.decode("content", "UTF-8").alias("text"))
 
 
-def buffer_source(spark: SparkSession, buffer: str | None = None, stream: TextIO | None = None) -> DataFrame:
-    """One unsaved note as a row; from stdin unless a buffer is given."""
+def buffer_source(spark: SparkSession, buffer: str | None = None, stream: TextIO | None = None, unix_newlines: bool = False) -> DataFrame:
+    """One unsaved note as a row; from stdin unless a buffer is given.
+
+    Offsets refer to the text as given; ``unix_newlines`` turns CRLF into LF first."""
     text = buffer if buffer is not None else (stream or sys.stdin).read()
+    if unix_newlines:
+        text = text.replace("\r\n", "\n")
     return spark.createDataFrame([("", text)], "path string, text string")
 
 
