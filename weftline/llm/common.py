@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import re
 import struct
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -152,6 +153,18 @@ def blocks_of(batches: Iterable[pa.RecordBatch], block_bytes: int = BLOCK_BYTES)
         yield base | seq, Block.of(rows)
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """Written as Parquet to the shared checkpoint folder and read again: what follows does not compute
+    it anew, and a lost executor costs no more than what it was about."""
+    from weftline.llm.components import ensure_checkpoint_dir
+
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/weftline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def packed(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     kind, key, src, payload = zip(*rows, strict=True) if rows else ((), (), (), ())
     return pa.RecordBatch.from_arrays(
