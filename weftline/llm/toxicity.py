@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import common
 
-BINS, MAX_ROWS, MAX_TERMS, FACTORS, FOLDS = 1 << 18, 20_000, 4096, 4, 5
+BINS, MAX_ROWS, MAX_TERMS, FACTORS, FOLDS, PARTS = 1 << 18, 20_000, 4096, 4, 5, 16
 _EDGE = ".,;:!?|#*$%&<>()[]{}\"'`~_=+-/\\"
 
 
@@ -135,7 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null")
     known = known.where(~held_out("doc_id", folds)).groupBy("doc_id").agg(F.max("y").alias("y"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # of bounded size, so it may be broadcast
-    rows = texts.join(F.broadcast(sample), "doc_id").select("text", "y")
+    # one scan finds the sample's texts; both passes over them read the small table it leaves
+    rows = common.saved(texts.join(F.broadcast(sample), "doc_id").select("text", "y").repartition(PARTS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = _Terms(None)
@@ -150,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_pydict({"part": pa.array([common.pack_arrays(size, seen, n[0, seen], n[1, seen])], pa.binary())})
 
     counts, size = np.zeros((2, BINS), np.int64), np.zeros(2, np.int64)
-    for part in rows.coalesce(16).mapInArrow(count, "part binary").toLocalIterator():  # 16 parts of BINS counts at most
+    for part in rows.coalesce(PARTS).mapInArrow(count, "part binary").toLocalIterator():  # PARTS parts of BINS counts at most
         s, seen, a, b = common.unpack_arrays(bytes(part[0]))
         size += s
         counts[0, seen] += a
