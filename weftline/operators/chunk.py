@@ -25,6 +25,7 @@ CHUNK_SCHEMA = (
 )
 _COLUMNS = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
 _WORD = re.compile(r"\w+|[^\w\s]")
+# The org syntax that segments are cleaned and cut by.
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 _DRAWER, _END = re.compile(r"[ \t]*:([\w-]+):[ \t]*$", re.A), re.compile(r"[ \t]*:END:[ \t]*$", re.I)
 _BLOCK, _BLOCK_END = re.compile(r"[ \t]*#\+begin_", re.I), re.compile(r"[ \t]*#\+end_", re.I)
