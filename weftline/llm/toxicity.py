@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import common
 
-BINS, MAX_ROWS, MAX_TERMS, FACTORS, FOLDS, PARTS = 1 << 18, 20_000, 4096, 4, 5, 16
+BINS, MAX_ROWS, MAX_TERMS, FACTORS, FOLDS, PARTS = 1 << 18, 20_000, 1024, 4, 5, 16
 _EDGE = ".,;:!?|#*$%&<>()[]{}\"'`~_=+-/\\"
 
 
