@@ -18,6 +18,7 @@ entry a block and no more.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import re
 import struct
@@ -153,6 +154,15 @@ def blocks_of(batches: Iterable[pa.RecordBatch], block_bytes: int = BLOCK_BYTES)
         yield base | seq, Block.of(rows)
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers are kept between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Written as Parquet to the shared checkpoint folder and read again: what follows does not compute
     it anew, and a lost executor costs no more than what it was about."""
@@ -184,6 +194,7 @@ def pass_one(texts: DataFrame, emit: Callable[[int, Block], Iterator[list[tuple[
         for key, block in blocks_of(batches, block_bytes):
             for rows in emit(key, block):
                 yield packed(rows)
+        release()
 
     n = shuffle_partitions(texts.sparkSession)
     return texts.mapInArrow(run, PACKED).repartition(n, "kind", "key")
@@ -207,7 +218,9 @@ def finish_blocks(rows: DataFrame, answers: DataFrame, finish: Callable[[int, by
         if key[0].as_py() != 0 or not group.num_rows:
             return schema.empty_table()
         got = list(zip(answer["src"].to_pylist(), answer["payload"].to_pylist(), strict=True))
-        return finish(key[1].as_py(), group["payload"][0].as_py(), got)
+        out = finish(key[1].as_py(), group["payload"][0].as_py(), got)
+        release()
+        return out
 
     return rows.groupBy("kind", "key").cogroup(answers.groupBy("kind", "key")).applyInArrow(run, spark_schema)
 

@@ -25,16 +25,19 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i for i up to n, modulo 2**64; kept per process."""
-    if base not in _powers or len(_powers[base][0]) <= n:
-        size = max(n + 1, 1 << 16)
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            a = np.full(size, b, np.uint64)
-            a[0] = 1
-            both.append(np.cumprod(a, dtype=np.uint64))
+    """base**i and base**-i for i up to n, modulo 2**64; short tables are kept per process, long ones are
+    made anew: a worker that waits should not hold them."""
+    if base in _powers and len(_powers[base][0]) > n:
+        return _powers[base]
+    size = max(n + 1, 1 << 16)
+    both = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        a = np.full(size, b, np.uint64)
+        a[0] = 1
+        both.append(np.cumprod(a, out=a))
+    if size <= 1 << 18:
         _powers[base] = (both[0], both[1])
-    return _powers[base]
+    return both[0], both[1]
 
 
 def prefix(values: np.ndarray, base: int) -> np.ndarray:

@@ -53,7 +53,7 @@ class Machine:
 class _Terms:
     """Word -> kept positions, remembered for as many words as a bound allows."""
 
-    def __init__(self, bins: np.ndarray | None, limit: int = 500_000):
+    def __init__(self, bins: np.ndarray | None, limit: int = 100_000):
         self.at = None if bins is None else {int(b): i for i, b in enumerate(bins)}
         self.memory: dict[str, tuple[int, ...]] = {}
         self.limit = limit
@@ -192,6 +192,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
                 z = machine.constant + machine.weight[own].sum() + 0.5 * ((v.sum(axis=0) ** 2).sum() - (v**2).sum())
                 out[k] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "score"])
+        common.release()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     return docs.mapInArrow(run, f"{schema}, score double")
