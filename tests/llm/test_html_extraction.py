@@ -82,3 +82,12 @@ def test_empty_and_very_long(spark):
     long_ = "<article>" + "<p>word word</p>" * 100_000
     got = main_text(spark.createDataFrame([(1, "http://a/", long_)], "page_id long, url string, html string")).first()
     assert got.n_chars == 100_000 * 10 - 1
+
+
+def test_own_tokens_stay_and_copies_are_no_boilerplate(spark):
+    rng = random.Random(2)
+    say = lambda n: " ".join("w" + str(rng.randrange(10_000)) for _ in range(n))
+    lead, own, copied = say(45), [say(40) for _ in range(3)], say(60)
+    rows = [(i, f"http://a/{i}", f"<p>{lead} {own[i]}</p>") for i in range(3)] + [(10 + i, f"http://b/{i}", f"<p>{copied}</p>") for i in range(3)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: own[i] for i in range(3)} | {10 + i: copied for i in range(3)}

@@ -7,7 +7,7 @@
    pages' token streams, sorts the suffixes, and finds token runs of at least ``min_run`` tokens that
    ``min_pages`` or more distinct pages hold.
 3. Blocks that no article element vouches for lose the tokens that such runs cover; what is left of
-   them, if most of the block is left, stays.  Article text stays whole even where it is repeated:
+   them stays.  Pages of equal text count as one: copies are no boilerplate.  Article text stays whole even where it is repeated:
    copies of an article are no boilerplate.
 
 A page without an article or main element keeps all its undecided blocks but the repeated ones; a page with
@@ -179,6 +179,19 @@ def repeated_tokens(streams: list[np.ndarray], min_run: int, min_pages: int) ->
     return np.split(flags, np.cumsum(lengths)[:-1]) if streams else []
 
 
+def distinct_streams(words: list[list[list[str]]]) -> tuple[list[np.ndarray], list[int]]:
+    """Token streams of pages, each once, and which of them each page has."""
+    place: dict[bytes, int] = {}
+    streams, which = [], []
+    for page in words:
+        own = np.array([zlib.crc32(w.encode("utf-8", "replace")) for b in page for w in b], np.uint32)
+        k = place.setdefault(own.tobytes(), len(streams))
+        if k == len(streams):
+            streams.append(own)
+        which.append(k)
+    return streams, which
+
+
 def extract_shard(pages: list[tuple[list[str], list[bool]]], min_run: int, min_pages: int) -> list[str]:
     """Main text of each page of a shard."""
     if all(all(main) for _, main in pages):
@@ -186,7 +199,9 @@ def extract_shard(pages: list[tuple[list[str], list[bool]]], min_run: int, min_p
     else:
         undecided = True
     words = [[b.split() for b in blocks] for blocks, _ in pages]
-    flags = repeated_tokens([np.array([zlib.crc32(w.encode("utf-8", "replace")) for b in page for w in b], np.uint32) for page in words], min_run, min_pages)
+    streams, which = distinct_streams(words)
+    found = repeated_tokens(streams, min_run, min_pages)
+    flags = [found[k] for k in which]
     out = []
     for (blocks, vouched), own, flag in zip(pages, words, flags, strict=True):
         if not undecided or all(vouched):
@@ -198,7 +213,7 @@ def extract_shard(pages: list[tuple[list[str], list[bool]]], min_run: int, min_p
             at += len(tokens)
             if main or not gone.any():
                 kept.append(block)
-            elif 2 * int(gone.sum()) < len(tokens):
+            elif not gone.all():
                 kept.append(" ".join(w for w, g in zip(tokens, gone.tolist(), strict=True) if not g))
         out.append("\n".join(kept))
     return out
