@@ -91,3 +91,16 @@ def test_own_tokens_stay_and_copies_are_no_boilerplate(spark):
     rows = [(i, f"http://a/{i}", f"<p>{lead} {own[i]}</p>") for i in range(3)] + [(10 + i, f"http://b/{i}", f"<p>{copied}</p>") for i in range(3)]
     got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: own[i] for i in range(3)} | {10 + i: copied for i in range(3)}
+
+
+def test_a_large_host_counts_repeats_as_a_small_one_does(spark):
+    rng = random.Random(3)
+    say = lambda n: " ".join("w" + str(rng.randrange(10_000)) for _ in range(n))
+    notices, twice = [say(12) for _ in range(10)], say(12)
+    rows = [(i, f"http://a/{i}", f"<div>{notices[i // 3]}</div><p>{say(20)}</p>") for i in range(30)]
+    rows += [(30 + i, f"http://a/{30 + i}", f"<div>{twice}</div><p>{say(20)}</p>") for i in range(2)]
+    rows += [(40 + i, f"http://a/{40 + i}", rows[0][2]) for i in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    small, large = (sorted(map(tuple, main_text(pages, shard_pages=k).collect())) for k in (100, 5))
+    assert large == small and len(large) == 35
+    assert [len(r[2].split()) for r in small[:32]] == [20] * 30 + [32] * 2

@@ -3,9 +3,10 @@
 1. A page becomes blocks: text between block-level tags, character references decoded, white space
    folded.  Markup decides some blocks at once: script, style, menus, headers, footers, side bars, forms,
    notices, adverts and comments go; what stands in an article (or main) element stays.
-2. Pages go to their host, large hosts in shards of about ``shard_pages`` pages.  The shard concatenates the
-   pages' token streams, sorts the suffixes, and finds token runs of at least ``min_run`` tokens that
-   ``min_pages`` or more distinct pages hold.
+2. Pages go to their host.  It concatenates the pages' token streams, sorts the suffixes, and finds token
+   runs of at least ``min_run`` tokens that ``min_pages`` or more distinct pages hold.  A host of more than
+   ``shard_pages`` pages is cut into shards by its pages' text; they count the pages of each run by its
+   64-bit hash, the counts are added up over the host, and the shards get back which runs are repeated.
 3. Blocks that no article element vouches for lose the tokens that such runs cover; what is left of
    them stays.  Pages of equal text count as one: copies are no boilerplate.  Article text stays whole even where it is repeated:
    copies of an article are no boilerplate.
@@ -20,6 +21,7 @@ empty result; extra columns play no part.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import common
+from weftline.llm import common, hashing
 from weftline.llm.suffix_array import equal_runs, sort_suffixes
 
 MIN_RUN, MIN_PAGES, SHARD_PAGES = 8, 3, 512
@@ -192,15 +194,38 @@ def distinct_streams(words: list[list[list[str]]]) -> tuple[list[np.ndarray], li
     return streams, which
 
 
-def extract_shard(pages: list[tuple[list[str], list[bool]]], min_run: int, min_pages: int) -> list[str]:
-    """Main text of each page of a shard."""
+def _run_hashes(stream: np.ndarray, min_run: int, host: int) -> np.ndarray:
+    """A hash of the run that starts at each token."""
+    _, runs = hashing.windows(hashing.mix64(stream.astype(np.uint64) + np.uint64(1)), np.array([0, len(stream)]), min_run)
+    return hashing.mix64(runs ^ np.uint64(host))
+
+
+def shard_runs(streams: list[np.ndarray], min_run: int, host: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a shard's runs, ascending, and on how many of the streams each stands."""
+    own = [np.unique(_run_hashes(s, min_run, host)) for s in streams]
+    return np.unique(np.concatenate([*own, np.empty(0, np.uint64)]), return_counts=True)
+
+
+def told_tokens(streams: list[np.ndarray], min_run: int, host: int, repeated: np.ndarray) -> list[np.ndarray]:
+    """As ``repeated_tokens``, where the ascending hashes of the repeated runs are known."""
+    out = []
+    for s in streams:
+        runs = _run_hashes(s, min_run, host)
+        at = np.minimum(np.searchsorted(repeated, runs), max(len(repeated) - 1, 0))
+        hit = np.flatnonzero(repeated[at] == runs) if len(repeated) else np.empty(0, np.int64)
+        out.append(hashing.cover(hit, min_run, len(s)))
+    return out
+
+
+def extract_shard(pages: list[tuple[list[str], list[bool]]], min_run: int, min_pages: int, host: int = 0, repeated: np.ndarray | None = None) -> list[str]:
+    """Main text of each page of a host, or of a shard that is told the host's repeated runs."""
     if all(all(main) for _, main in pages):
         undecided = False
     else:
         undecided = True
     words = [[b.split() for b in blocks] for blocks, _ in pages]
     streams, which = distinct_streams(words)
-    found = repeated_tokens(streams, min_run, min_pages)
+    found = repeated_tokens(streams, min_run, min_pages) if repeated is None else told_tokens(streams, min_run, host, repeated)
     flags = [found[k] for k in which]
     out = []
     for (blocks, vouched), own, flag in zip(pages, words, flags, strict=True):
@@ -241,33 +266,91 @@ def main_text(
     large = large.select("host", F.ceil(F.col("count") / shard_pages).cast("long").alias("shards"))
     side = F.broadcast(large) if large.limit(host_limit + 1).count() <= host_limit else large
     placed = own.withColumn("host", host).join(side, "host", "left")
-    spread = F.pmod(F.xxhash64("url", "page_id"), F.coalesce("shards", F.lit(1).cast("long")))
-    placed = placed.select("page_id", "url", "html", F.xxhash64("host", spread).alias("shard"))
+    placed = placed.select("page_id", "url", "html", F.xxhash64("host").alias("host"), F.coalesce("shards", F.lit(1).cast("long")).alias("shards"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shards = batch.column(3).to_pylist()
-            groups: dict[int, list[list[Any]]] = {}
+            hosts, shards = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            # (shard, host, whether the host has several): page text -> pages of that text
+            groups: dict[tuple[int, int, bool], dict[str, list[list[Any]]]] = {}
             urls = batch.column(1).cast(pa.large_binary())
             for k, raw in enumerate(batch.column(2).cast(pa.large_binary())):
                 blocks, main = parse((raw.as_py() or b"").decode("utf-8", "replace"))
                 url = urls[k].as_py()
-                groups.setdefault(shards[k], []).append([batch.column(0)[k].as_py(), None if url is None else url.decode("utf-8", "replace"), blocks, main])
+                shard = hosts[k]
+                if shards[k] > 1:  # equal token streams meet in one shard
+                    tokens = hashlib.blake2b(" ".join(blocks).encode("utf-8", "replace"), digest_size=8).digest()
+                    spot = np.array([hosts[k]]).view(np.uint64) ^ hashing.mix64(np.array([int.from_bytes(tokens, "big") % shards[k] + 1], np.uint64))
+                    shard = int(spot.view(np.int64)[0])
+                same = groups.setdefault((shard, hosts[k], shards[k] > 1), {})
+                text = json.dumps([blocks, main])
+                same.setdefault(text, []).append([batch.column(0)[k].as_py(), None if url is None else url.decode("utf-8", "replace")])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(groups), pa.int64()), pa.array([common.zip_bytes(json.dumps(g).encode()) for g in groups.values()], pa.binary())],
-                names=["shard", "payload"],
+                [
+                    pa.array([g[0] for g in groups], pa.int64()),
+                    pa.array([g[1] for g in groups], pa.int64()),
+                    pa.array([g[2] for g in groups], pa.bool_()),
+                    pa.array([common.zip_bytes(json.dumps(list(g.items())).encode()) for g in groups.values()], pa.binary()),
+                ],
+                names=["shard", "host", "several", "payload"],
             )
 
+    def hosts_of(group: pa.Table) -> Iterator[tuple[int, bool, list[list[Any]], list[tuple[list[str], list[bool]]]]]:
+        """Pages by host (a host has a key of its own but for chance)."""
+        found: dict[tuple[int, bool], list[Any]] = {}
+        for host, several, payload in zip(group["host"].to_pylist(), group["several"].to_pylist(), group["payload"].to_pylist(), strict=True):
+            found.setdefault((host, several), []).extend(json.loads(common.unzip_bytes(payload)))
+        for (host, several), items in found.items():
+            yield host & (1 << 64) - 1, several, [rows for _, rows in items], [tuple(json.loads(text)) for text, _ in items]
+
+    def texts_of(group: pa.Table, told: pa.Table | None) -> pa.Table:
+        ids, urls, texts = [], [], []
+        for host, several, rows, parsed in hosts_of(group):
+            repeated = np.unique(np.concatenate([np.empty(0, np.uint64), *(common.unpack_arrays(p)[0] for p in told["runs"].to_pylist())])) if several and told is not None else None
+            for same, text in zip(rows, extract_shard(parsed, min_run, min_pages, host, repeated), strict=True):
+                ids += [r[0] for r in same]
+                urls += [r[1] for r in same]
+                texts += [text] * len(same)
+        return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=_OUT)
+
     def extract(key: tuple[Any, ...], group: pa.Table) -> pa.Table:
-        rows = [row for payload in group["payload"].to_pylist() for row in json.loads(common.unzip_bytes(payload))]
-        texts = extract_shard([(r[2], r[3]) for r in rows], min_run, min_pages)
-        return pa.Table.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-            schema=_OUT,
-        )
-
-    packed = placed.mapInArrow(pack, "shard long, payload binary")
-    return packed.groupBy("shard").applyInArrow(extract, _OUT_SQL)
+        return texts_of(group, None)
+
+    def extract_told(key: tuple[Any, ...], group: pa.Table, told: pa.Table) -> pa.Table:
+        return texts_of(group, told)
+
+    packed = placed.mapInArrow(pack, "shard long, host long, several boolean, payload binary")
+    if not large.limit(1).count():
+        return packed.groupBy("shard").applyInArrow(extract, _OUT_SQL)
+    n = common.shuffle_partitions(spark)
+    grouped = packed.repartition(n, "shard").groupBy("shard")
+    runs_out = pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), ("runs", pa.binary())])
+
+    def runs(key: tuple[Any, ...], group: pa.Table) -> pa.Table:
+        out: list[tuple[int, int, bytes]] = []
+        for host, several, _, parsed in hosts_of(group):
+            if several:
+                streams, _ = distinct_streams([[b.split() for b in blocks] for blocks, _ in parsed])
+                found, pages_of = shard_runs(streams, min_run, host)
+                to = common.bucket_of(found, 2 * n)  # ascending, as the hashes are
+                out += [(int(to[a]), key[0].as_py(), common.pack_arrays(found[a:b], pages_of[a:b].astype(np.int32))) for a, b in common.segments(to)]
+        return pa.Table.from_arrays([pa.array([r[i] for r in out], runs_out.field(i).type) for i in range(3)], schema=runs_out)
+
+    def add_up(key: tuple[Any, ...], group: pa.Table) -> pa.Table:
+        parts = [common.unpack_arrays(p) for p in group["runs"].to_pylist()]
+        every, spot = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        repeated = np.bincount(spot, weights=np.concatenate([p[1] for p in parts]), minlength=len(every)) >= min_pages
+        out, at = [], 0
+        for shard, (own, _) in zip(group["shard"].to_pylist(), parts, strict=True):
+            hit = repeated[spot[at : at + len(own)]]
+            at += len(own)
+            if hit.any():
+                out.append((key[0].as_py(), shard, common.pack_arrays(own[hit])))
+        return pa.Table.from_arrays([pa.array([r[i] for r in out], runs_out.field(i).type) for i in range(3)], schema=runs_out)
+
+    kind = "bucket long, shard long, runs binary"
+    told = grouped.applyInArrow(runs, kind).groupBy("bucket").applyInArrow(add_up, kind).select("shard", "runs")
+    return grouped.cogroup(told.groupBy("shard")).applyInArrow(extract_told, _OUT_SQL)
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
