@@ -1,12 +1,13 @@
 from __future__ import annotations
 
+import math
 import random
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm.toxicity import drop_toxic, fit, score, toxicity
+from weftline.llm.toxicity import BINS, drop_toxic, fit, score, toxicity, word_bins
 
 
 def made(n=3000, seed=1):
@@ -61,3 +62,27 @@ def test_drop_keeps_columns_and_empty_table(spark):
     assert toxicity(d.limit(0), y.limit(0)).collect() == []
     with pytest.raises(ValueError, match="score"):
         score(d.withColumn("score", F.lit(1)), fit(d, y))
+
+
+def test_every_telling_bin_is_kept(spark):
+    rng = random.Random(4)
+    insults = [f"{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}qx{i % 7}" for i in range(1300)]
+    docs, labels = [], []
+    for i in range(4000):
+        y = int(rng.random() < 0.3)
+        words = [f"w{rng.randrange(500)}" for _ in range(8)] + rng.sample(insults, 9) * y
+        docs.append((i, " ".join(words)))
+        labels.append((i, y))
+    seen, toxic, rows = [0] * BINS, [0] * BINS, [0, 0]
+    for (i, text), (_, y) in zip(docs, labels, strict=True):
+        if zlib.crc32(str(i).encode()) % 5:
+            rows[y] += 1
+            for b in {b for w in set(text.split()) for b in word_bins(w)}:
+                seen[b] += 1
+                toxic[b] += y
+    part = lambda x, e: x * math.log(x / e) if x else 0
+    n, p = sum(rows), rows[1] / sum(rows)
+    ratio = lambda m, a: 2 * (part(a, m * p) + part(m - a, m * (1 - p)) + part(rows[1] - a, (n - m) * p) + part(rows[0] - m + a, (n - m) * (1 - p)))
+    want = [b for b in range(BINS) if seen[b] >= 3 and ratio(seen[b], toxic[b]) > 10.8]
+    machine = fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert len(want) > 1024 and machine.bins.tolist() == want

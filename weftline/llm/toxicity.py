@@ -5,8 +5,9 @@ The machine adds, to a weight for each bin, an interaction for every pair of bin
 product of two short vectors), so that two terms together can mean what neither means alone.
 
 The fit uses a bounded sample: at most ``max_rows`` labelled rows, those with the smallest hash of
-their id.  Executors count the bins of the sample and reduce its rows to the ``max_terms`` bins
-that tell the classes apart best (likelihood ratio); the driver fits those short rows.  Scoring is
+their id.  Executors count the bins of the sample and reduce its rows to the bins that tell the classes
+apart (likelihood ratio, one in a thousand by chance; the best ``max_terms`` of them if that is given);
+the driver fits those short rows.  Scoring is
 one pass over all texts with no shuffle.
 
 Defined cases: null and empty texts score the machine's constant; rows with null id score like
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import common
 
-BINS, MAX_ROWS, MAX_TERMS, FACTORS, FOLDS, PARTS = 1 << 18, 20_000, 1024, 4, 5, 16
+BINS, MAX_ROWS, FACTORS, FOLDS, PARTS = 1 << 18, 20_000, 4, 5, 16
 _EDGE = ".,;:!?|#*$%&<>()[]{}\"'`~_=+-/\\"
 
 
@@ -129,7 +130,7 @@ def held_out(id_col: str = "doc_id", folds: int = FOLDS):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS, factors: int = FACTORS, folds: int = FOLDS) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, max_terms: int | None = None, factors: int = FACTORS, folds: int = FOLDS) -> Machine:
     """Fit on at most ``max_rows`` labelled rows that are not held out."""
     texts = common.keyed_texts(docs, id_col, text_col)
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null")
