@@ -12,6 +12,7 @@ from weftline.functions import text as T
 from weftline.functions import vectors as V
 from weftline.operators import frontend as U
 from weftline.operators import judge as J
+from weftline.plans import registry
 
 
 def test_wrap_and_insert():
@@ -177,3 +178,25 @@ def test_overlaps_inserts_and_edits(spark):
     assert U.apply_edits(edits).first().buffer == "X Y cd"
     with pytest.raises(ValueError, match="outside"):
         U.apply_edit("abc", 2, 9, "")
+
+
+def test_anchor_queries_look_up_every_row(spark, tmp_path):
+    phrase = "the quick brown fox jumps over the lazy dog"
+    buffers = [f"ab {phrase} cd", f"x {phrase.replace(' ', '  ')} y", "See [[id:1][the quick brown]] fox jumps over the lazy dog.", f"k {phrase.replace('brown', 'browne').replace('lazy', 'lzy')} z", "nothing of the kind", None, ""]
+    spark.createDataFrame(list(enumerate(buffers)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, phrase)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def fewest(text):  # every substring's edits, by brute force
+        row = [(0, k) for k in range(len(text) + 1)]
+        for i, c in enumerate(phrase, 1):
+            new = [(i, 0)]
+            for k, d in enumerate(text, 1):
+                new.append(min((row[k - 1][0] + (c != d), row[k - 1][1]), (row[k][0] + 1, row[k][1]), (new[-1][0] + 1, new[-1][1]), key=lambda x: x[0]))
+            row = new
+        end = min(range(len(row)), key=lambda k: row[k][0])
+        return (row[end][1], end) if row[end][0] <= round(0.2 * len(phrase)) else (None, None)
+
+    got = {r.doc_id: (r.char_start, r.char_end) for r in registry.QUERIES["anchor_fuzzy"](spark, str(tmp_path)).collect()}
+    assert got == {0: (3, 46), 1: (2, len(buffers[1]) - 2), 2: (buffers[2].index("the"), len(buffers[2]) - 1), 3: fewest(buffers[3]), 4: (None, None), 6: (None, None)}
+    shown = {r.doc_id: r.shown_start for r in registry.QUERIES["anchor_normalized"](spark, str(tmp_path)).collect()}
+    assert shown == {0: 3, 1: 2, 2: 4, 3: None, 4: None, 6: None} and got[3] != (None, None)

@@ -388,6 +388,26 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", same.alias("exact"))
 
 
+def _shown_sql(c: str) -> str:
+    return rf"regexp_replace(regexp_replace(regexp_replace({c}, '\[\[[^\]]+\]\[([^\]]+)\]\]', '\1', 'g'), '\[\[([^\]]+)\]\]', '\1', 'g'), '\s+', ' ', 'g')"
+
+
+@query(
+    "anchor_normalized",
+    f"WITH {PHRASES}, n AS (SELECT doc_id, item_id, instr({_shown_sql('buffer')}, {_shown_sql('phrase')}) AS spot FROM phrases) SELECT doc_id, item_id, CASE WHEN spot > 0 THEN CAST(spot - 1 AS INTEGER) END AS shown_start FROM n",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _phrases(spark, d).select("doc_id", "item_id", anchoring.exact_offset(text.normalized(F.col("buffer")), text.normalized(F.col("phrase"))).alias("shown_start"))
+
+
+@query("anchor_fuzzy")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The whole lookup over every row: as it is, normalised, with edits; nulls where nothing is found."""
+    rows = _phrases(spark, d).select("doc_id", "item_id", "buffer", F.lit("wrap").alias("mode"), F.col("phrase").alias("expect"), F.lit(None).cast("string").alias("insert_text"))
+    found = anchoring.resolve_anchors(rows.repartition(spark.sparkContext.defaultParallelism, "doc_id"))
+    return found.select("doc_id", "item_id", *(F.col(f"source_anchor.{c}").alias(c) for c in ("char_start", "char_end", "expect", "before", "after")))
+
+
 @query("normalized_text", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\[\[[^\]]+\]\[([^\]]+)\]\]', '\1', 'g'), '\[\[([^\]]+)\]\]', '\1', 'g'), '\s+', ' ', 'g') AS shown FROM documents WHERE text IS NOT NULL")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").where("text is not null").select("doc_id", text.normalized(F.col("text")).alias("shown"))
