@@ -200,3 +200,23 @@ def test_anchor_queries_look_up_every_row(spark, tmp_path):
     assert got == {0: (3, 46), 1: (2, len(buffers[1]) - 2), 2: (buffers[2].index("the"), len(buffers[2]) - 1), 3: fewest(buffers[3]), 4: (None, None), 6: (None, None)}
     shown = {r.doc_id: r.shown_start for r in registry.QUERIES["anchor_normalized"](spark, str(tmp_path)).collect()}
     assert shown == {0: 3, 1: 2, 2: 4, 3: None, 4: None, 6: None} and got[3] != (None, None)
+
+
+def test_nearest_occurrence_takes_every_document(spark, tmp_path):
+    texts = ["", "ab", "short text", "0123456789" * 60, "x" * 500, "one of a kind " + "".join(chr(97 + k * 7 % 26) + str(k) for k in range(300)), None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    for i, text in enumerate(texts):
+        if text is None:
+            continue
+        s = len(text) // 2
+        lead = s - max(0, s - 40)
+        whole, n, guess = text[s - lead : s + 60], len(text[s : s + 20]), max(0, max(0, s - 100) - lead)
+        spots, at = [], text.find(whole) if whole else -1
+        while at >= 0:
+            spots.append(at)
+            at = text.find(whole, at + len(whole))
+        best = min(spots, key=lambda x: (abs(x - guess), -x), default=None)
+        want[i] = (None, None) if best is None else (best + lead, best + lead + n)
+    got = {r.doc_id: (r.beg, r.end) for r in registry.QUERIES["nearest_occurrence"](spark, str(tmp_path)).collect()}
+    assert got == want and len(got) == 6

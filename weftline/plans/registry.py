@@ -633,6 +633,30 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return frontend.reanchor(once).select("doc_id", "beg", "end")
 
 
+@query(
+    "nearest_occurrence",
+    """WITH r AS (SELECT doc_id, text, length(text) // 2 AS s, greatest(length(text) // 2 - 40, 0) AS low FROM documents WHERE text IS NOT NULL),
+      w AS (SELECT doc_id, text, s - low AS lead, length(substr(text, s + 1, 20)) AS n, substr(text, low + 1, s - low + 60) AS whole, greatest(0, greatest(0, s - 100) - (s - low)) AS guess FROM r),
+      p AS (SELECT *, CASE WHEN whole <> '' THEN string_split(text, whole) END AS gaps FROM w),
+      q AS (SELECT doc_id, lead, n, guess, whole, gaps, unnest(range(1, len(gaps))) AS k FROM p),
+      o AS (SELECT doc_id, lead, n, guess, list_sum(list_transform(gaps[1:k], lambda x: length(x))) + (k - 1) * length(whole) AS spot FROM q),
+      b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY abs(spot - guess), spot DESC) AS place FROM o)
+      SELECT p.doc_id, CAST(b.spot + b.lead AS INTEGER) AS beg, CAST(b.spot + b.lead + b.n AS INTEGER) AS "end" FROM p LEFT JOIN b ON b.doc_id = p.doc_id AND b.place = 1""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Anchors of every document with text, guessed too far left; surroundings may repeat or be cut short."""
+    docs = _t(spark, d, "documents").where("text is not null").select("doc_id", F.col("text").alias("buffer"), F.floor(F.length("text") / 2).cast("int").alias("s"))
+    rows = docs.select(
+        "doc_id",
+        "buffer",
+        anchoring.context_before(F.col("buffer"), F.col("s")).alias("before"),
+        F.substring("buffer", F.col("s") + 1, F.lit(20)).alias("expect"),
+        F.substring("buffer", F.col("s") + 21, F.lit(40)).alias("after"),
+        F.greatest(F.lit(0), F.col("s") - 100).alias("char_start"),
+    )
+    return frontend.reanchor(rows).select("doc_id", "beg", "end")
+
+
 @query(
     "describe",
     "SELECT doc_id, '[' || lang || ', confidence ' || (doc_id % 3 + 1) || '] ' || source || ' -> ' || lang || ': ' || CASE WHEN length(text) > 120 THEN substr(text, 1, 120) || '...' ELSE text END AS line FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL",
