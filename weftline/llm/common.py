@@ -19,7 +19,6 @@ entry a block and no more.
 from __future__ import annotations
 
 import ctypes
-import json
 import re
 import struct
 import uuid
@@ -50,10 +49,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str, rest: list[str] | None = None) -> DataFrame:
     """The two columns an operator needs, under names of its own: extra columns cannot clash.
 
-    ``rest`` names columns that travel along as JSON."""
-    own = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
-    if rest is not None:
-        own.append(F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)])).alias("rest") if rest else F.lit("{}").alias("rest"))
+    ``rest`` names columns that travel along unchanged, in one struct."""
+    own = [F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")]
+    if rest:
+        own.append(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]).alias("rest"))
     return docs.select(*own)
 
 
@@ -78,6 +77,11 @@ def pack_arrays(*arrays: np.ndarray) -> bytes:
 
 
 def unpack_arrays(data: bytes) -> list[np.ndarray]:
+    return unpack_arrays_at(data)[:-1]
+
+
+def unpack_arrays_at(data: bytes) -> list:
+    """The arrays, and where in data they end."""
     (n,), at, out = struct.unpack_from("<B", data), 1, []
     for _ in range(n):
         code, size = struct.unpack_from("<3sq", data, at)
@@ -91,24 +95,27 @@ def unpack_arrays(data: bytes) -> list[np.ndarray]:
                 planes[i] = np.frombuffer(unzip_bytes(data[at : at + length]), np.uint8)
             at += length
         out.append(np.ascontiguousarray(planes.T).view(kind).reshape(-1))
-    return out
+    return [*out, at]
 
 
 class Block:
-    """Documents of one block, ascending by doc_id (null ids last), as one UTF-8 buffer."""
+    """Documents of one block, ascending by doc_id (null ids last) and text, as one UTF-8 buffer.
+
+    ``rest`` is what travels along with each document, as an Arrow array."""
 
-    def __init__(self, ids: np.ndarray, known: np.ndarray, offsets: np.ndarray, data: bytes, rest: list[str] | None = None):
+    def __init__(self, ids: np.ndarray, known: np.ndarray, offsets: np.ndarray, data: bytes, rest: pa.Array | None = None):
         self.ids, self.known, self.offsets, self.data, self.rest = ids, known, offsets, data, rest
 
     @classmethod
-    def of(cls, rows: list[tuple[int | None, bytes, str | None]]) -> Block:
-        rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or ""))
+    def of(cls, rows: list[tuple[int | None, bytes]], rest: pa.Array | None = None) -> Block:
+        order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, rows[k][1]))
+        rows = [rows[k] for k in order]
         return cls(
             np.array([r[0] or 0 for r in rows], np.int64),
             np.array([r[0] is not None for r in rows], bool),
             np.cumsum([0, *(len(r[1]) for r in rows)], dtype=np.int64),
             b"".join(r[1] for r in rows),
-            [r[2] or "{}" for r in rows] if rows and rows[0][2] is not None else None,
+            None if rest is None else rest.take(pa.array(order, pa.int64())),
         )
 
     def __len__(self) -> int:
@@ -122,14 +129,22 @@ class Block:
 
     def pack(self) -> bytes:
         head = pack_arrays(self.ids, self.known.view(np.uint8), self.offsets)
-        rest = b"" if self.rest is None else zip_bytes(json.dumps(self.rest).encode())
+        rest = b""
+        if self.rest is not None:
+            sink = pa.BufferOutputStream()
+            batch = pa.RecordBatch.from_arrays([self.rest], names=["rest"])
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch)
+            rest = zip_bytes(sink.getvalue().to_pybytes())
         return struct.pack("<qq", len(head), len(rest)) + head + rest + zip_bytes(self.data)
 
     @classmethod
     def unpack(cls, payload: bytes) -> Block:
         n, m = struct.unpack_from("<qq", payload)
         ids, known, offsets = unpack_arrays(payload[16 : 16 + n])
-        rest = json.loads(unzip_bytes(payload[16 + n : 16 + n + m])) if m else None
+        rest = None
+        if m:
+            rest = pa.ipc.open_stream(unzip_bytes(payload[16 + n : 16 + n + m])).read_all().column(0).combine_chunks()
         return cls(ids, known.view(bool), offsets, unzip_bytes(payload[16 + n + m :]), rest)
 
 
@@ -138,20 +153,28 @@ def blocks_of(batches: Iterable[pa.RecordBatch], block_bytes: int = BLOCK_BYTES)
     from pyspark import TaskContext
 
     base, seq = TaskContext.get().partitionId() << 24, 0
-    rows: list[tuple[int | None, bytes, str | None]] = []
+    rows: list[tuple[int | None, bytes]] = []
+    rest: list[pa.Array] = []
     size = 0
+
+    def cut() -> Block:
+        return Block.of(rows, pa.concat_arrays(rest) if rest else None)
+
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())
-        rest = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * len(ids)
-        for i, text, other in zip(ids, texts, rest, strict=True):
-            raw = text.as_py() or b""
-            rows.append((i, raw, other))
-            size += len(raw)
+        ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()
+        begin = 0
+        for k, (i, text) in enumerate(zip(ids, texts, strict=True)):
+            rows.append((i, text or b""))
+            size += len(text or b"")
             if size >= block_bytes or len(rows) >= BLOCK_DOCS:
-                yield base | seq, Block.of(rows)
-                rows, size, seq = [], 0, seq + 1
+                if batch.num_columns > 2:
+                    rest.append(batch.column(2).slice(begin, k + 1 - begin))
+                yield base | seq, cut()
+                rows, rest, size, seq, begin = [], [], 0, seq + 1, k + 1
+        if batch.num_columns > 2 and begin < batch.num_rows:
+            rest.append(batch.column(2).slice(begin))
     if rows:
-        yield base | seq, Block.of(rows)
+        yield base | seq, cut()
 
 
 def release() -> None:

@@ -15,14 +15,16 @@ from pyspark.sql import types as T
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; only where there is none (tests) make one."""
+    """Use the folder the cluster names; a local session that names none gets one of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master or "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "weftline-checkpoints"))
 
 
-def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected(links: DataFrame) -> DataFrame:
     """(a, b) links over one ordered key type -> (node, root): root is the least node reachable.
 
     Nodes without a link do not appear.  Loops, repeated links and either direction are fine; null
@@ -34,7 +36,7 @@ def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     # child > parent throughout
     edges = ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
     before = None
-    for _ in range(max_rounds):
+    while True:  # each round shrinks a component's depth; one that changes nothing is the last
         # large star: neighbours above a node point at the least neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
