@@ -36,6 +36,11 @@ def test_article_without_boilerplate():
         ("<article>cut off in the mid", ["cut off in the mid"]),
         ("<div class='badge headerless'>k</div>", ["k"]),
         ("<table><tr><td>1<td>2<tr><td>3</table>", ["1", "2", "3"]),
+        ("<article class='post privacy-law'><p>law</p></article>", ["law"]),
+        ("<div class='post tags'>t</div><div class='tags'>u</div><main role=\"main\" hidden>h</main>", ["t"]),
+        ("<p title=it's>q</p><p title='a>b'>r</p><p title=\"c>d\" x='e\">s</p>", ["q", "r", "s"]),
+        ("<article><header><h1>Title</h1><p>by me</p><hgroup><h2>Under</h2></hgroup><nav><h3>menu</h3></nav></header><p>body</p></article>", ["Title", "Under", "body"]),
+        ("<header><h1>Site</h1></header><article>a<footer><h2>f</h2></footer></article>", ["a"]),
     ],
 )
 def test_markup(page, want):
@@ -104,3 +109,50 @@ def test_a_large_host_counts_repeats_as_a_small_one_does(spark):
     small, large = (sorted(map(tuple, main_text(pages, shard_pages=k).collect())) for k in (100, 5))
     assert large == small and len(large) == 35
     assert [len(r[2].split()) for r in small[:32]] == [20] * 30 + [32] * 2
+
+
+def test_a_teaser_does_not_stand_for_the_page(spark):
+    body, stray = "a long body of the page " * 20, "stray words"
+    rows = [(1, "http://a/", f"<article>teaser</article><div>{body}</div>"), (2, "http://b/", f"<article>{body}</article><div>{stray}</div>"), (3, "http://c/", f"<div>{stray}</div>")]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: f"teaser\n{body.strip()}", 2: body.strip(), 3: stray}
+
+
+@pytest.mark.parametrize("shard_pages", [100, 4])
+def test_hosts_against_brute_force(spark, shard_pages):
+    """Runs counted page by page, tokens dropped one by one."""
+    rng = random.Random(7)
+    say = lambda n: [f"w{rng.randrange(500)}" for _ in range(n)]
+    shared = [say(rng.randint(9, 14)) for _ in range(6)]
+    rows, parsed = [], []
+    for i in range(30):
+        blocks = []
+        for _ in range(rng.randint(1, 4)):
+            words = say(rng.randint(0, 12))
+            if rng.random() < 0.6:
+                words[rng.randint(0, len(words)) : 0] = rng.choice(shared)
+            if words:
+                blocks.append((words, rng.random() < 0.3))
+        if i % 9 == 8:
+            blocks = parsed[-1]
+        parsed.append(blocks)
+        rows.append((i, "http://one/" + str(i), "".join(f"<article>{' '.join(w)}</article>" if main else f"<div>{' '.join(w)}</div>" for w, main in blocks)))
+    pages = Counter()
+    for blocks in {str(b): b for b in parsed}.values():
+        stream = [w for words, main in blocks if not main for w in words]
+        pages.update({tuple(stream[k : k + 8]) for k in range(len(stream) - 7)})
+    want = {}
+    for i, blocks in enumerate(parsed):
+        stream = [w for words, main in blocks if not main for w in words]
+        gone = {k + d for k in range(len(stream) - 7) if pages[tuple(stream[k : k + 8])] >= 3 for d in range(8)}
+        kept, at = [], 0
+        for words, main in blocks:
+            if not main:
+                words, at = [w for k, w in enumerate(words, at) if k not in gone], at + len(words)
+            kept.append((words, main))
+        inside, total = sum(len(w) for w, main in kept if main), sum(len(w) for w, _ in kept)
+        if inside and 2 * inside >= total:
+            kept = [k for k in kept if k[1]]
+        want[i] = "\n".join(" ".join(w) for w, _ in kept if w)
+    got = main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), shard_pages=shard_pages).collect()
+    assert {r.page_id: r.text for r in got} == want and any(len(t.split()) < sum(len(w) for w, _ in b) for t, b in zip(want.values(), parsed, strict=True))

@@ -2,20 +2,23 @@
 
 1. A page becomes blocks: text between block-level tags, character references decoded, white space
    folded.  Markup decides some blocks at once: script, style, menus, headers, footers, side bars, forms,
-   notices, adverts and comments go; what stands in an article (or main) element stays.
-2. Pages go to their host.  It concatenates the pages' token streams, sorts the suffixes, and finds token
-   runs of at least ``min_run`` tokens that ``min_pages`` or more distinct pages hold.  A host of more than
-   ``shard_pages`` pages is cut into shards by its pages' text; they count the pages of each run by its
-   64-bit hash, the counts are added up over the host, and the shards get back which runs are repeated.
-3. Blocks that no article element vouches for lose the tokens that such runs cover; what is left of
-   them stays.  Pages of equal text count as one: copies are no boilerplate.  Article text stays whole even where it is repeated:
-   copies of an article are no boilerplate.
-
-A page without an article or main element keeps all its undecided blocks but the repeated ones; a page with
-one keeps that element's blocks only.
+   notices, adverts and comments go; an article (or main) element vouches for what stands in it.
+2. Pages go to their host.  It concatenates the token streams of the blocks that nothing has decided, sorts
+   the suffixes, and finds token runs of at least ``min_run`` tokens that ``min_pages`` or more distinct
+   pages hold.  A host of more than ``shard_pages`` pages is cut into shards by its pages' text; they count
+   the pages of each run by its 64-bit hash, the counts are added up over the host, and the shards get back
+   which runs are repeated.
+3. Undecided blocks lose the tokens that such runs cover; what is left of them stays.  Pages of equal text
+   count as one: copies are no boilerplate.  Article text stays whole even where it is repeated, for the
+   same reason.
+4. Where article elements hold at least half of a page's remaining words they are the page's main text; a
+   page whose articles are teasers, or that has none, keeps its undecided blocks too.
+
+A header inside an article loses all but its headings, which are the article's titles.  Class words do not
+rule out article, main, html and body elements, nor elements that are also named as content.
 
 Defined cases: null or empty html gives empty text; a null url is a host of its own; repeated rows stay
-repeated; unclosed and stray tags close with their parents or are passed over; an empty table gives an
+repeated; unquoted attribute values may hold quotes; unclosed and stray tags close with their parents or are passed over; an empty table gives an
 empty result; extra columns play no part.
 """
 
@@ -63,16 +66,24 @@ _MARKS = re.compile(
     r"recommended|related|replies|respond|search|share|sharing|sidebar|sidenav|skip|social|sponsor|sponsored|subscribe|subscription|tags|toolbar|topbar|widget|widgets)(?:$|[\s_-])",
     re.I,
 )
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: Names that mark an element as content, whatever else it is called.
+_CONTENT = re.compile(r"(?:^|\s)(?:article|content|entry|entry-content|main|post|post-body|post-content|story)(?:$|\s)", re.I)
+#: The element whose headings stay where it stands in an article.
+_TITLED, _HEADINGS = "header", frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 
 
+def _hidden(attributes: str) -> bool:
+    return any(m[1].lower() == "hidden" or (m[1].lower() == "aria-hidden" and (m[2] or "").strip("\"'").lower() == "true") for m in _ATTR.finditer(attributes))
+
+
 def _marked(attributes: str) -> bool:
     for m in _ATTR.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True
-        if name in ("class", "id", "role") and _MARKS.search(value):
+        if name in ("class", "id", "role") and _MARKS.search(value) and not _CONTENT.search(value):
             return True
     return False
 
@@ -81,7 +92,7 @@ def blocks_of_page(page: str) -> list[tuple[str, bool]]:
     """(text, inside an article or main element) of the blocks that markup does not rule out."""
     out: list[tuple[str, bool]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, ruled out, main: with all their parents
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, ruled out, main, out but for headings: with all their parents
     at, n = 0, len(page)
     out_now = main_now = False
 
@@ -133,7 +144,12 @@ def blocks_of_page(page: str) -> list[tuple[str, bool]]:
                     break
                 if stack[k][0] in _SCOPE:
                     break
-        gone = name in _SKIP or (name not in ("html", "body") and bool(m[3]) and _marked(m[3]))
+        titled = name == _TITLED and main_now and not out_now
+        if name in _MAIN or name in ("html", "body"):
+            gone = name not in ("html", "body") and _hidden(m[3])
+        else:
+            gone = name in _SKIP or (bool(m[3]) and _marked(m[3]))
+        back = name in _HEADINGS and bool(stack) and stack[-1][3] and not (m[3] and _marked(m[3]))
         if name in _VOID or m[3].endswith("/") and name not in _RAW and not inline and name in ("svg", "math"):
             continue
         if name in _RAW:  # its content is no markup
@@ -142,7 +158,8 @@ def blocks_of_page(page: str) -> list[tuple[str, bool]]:
             continue
         if gone and not out_now:
             flush() if not inline else None
-        stack.append((name, out_now or gone, main_now or (name in _MAIN and not (out_now or gone))))
+        within = bool(stack) and stack[-1][3] and not gone and not back
+        stack.append((name, (out_now or gone) and not back, main_now or (name in _MAIN and not (out_now or gone)), titled or within))
         settle()
     if not out_now:
         flush()
@@ -150,10 +167,8 @@ def blocks_of_page(page: str) -> list[tuple[str, bool]]:
 
 
 def parse(page: str | None) -> tuple[list[str], list[bool]]:
-    """Blocks that may be main text, and whether an article element vouches for each."""
+    """Blocks that markup does not rule out, and whether an article element vouches for each."""
     found = blocks_of_page(page or "")
-    if any(main for _, main in found):
-        found = [b for b in found if b[1]]
     return [t for t, _ in found], [main for _, main in found]
 
 
@@ -181,15 +196,19 @@ def repeated_tokens(streams: list[np.ndarray], min_run: int, min_pages: int) ->
     return np.split(flags, np.cumsum(lengths)[:-1]) if streams else []
 
 
-def distinct_streams(words: list[list[list[str]]]) -> tuple[list[np.ndarray], list[int]]:
-    """Token streams of pages, each once, and which of them each page has."""
+def undecided_streams(pages: list[tuple[list[str], list[bool]]]) -> tuple[list[np.ndarray], list[int]]:
+    """Token streams of what no article element vouches for, once for all pages of equal text, and which of them
+    each page has."""
     place: dict[bytes, int] = {}
     streams, which = [], []
-    for page in words:
-        own = np.array([zlib.crc32(w.encode("utf-8", "replace")) for b in page for w in b], np.uint32)
-        k = place.setdefault(own.tobytes(), len(streams))
+    for blocks, vouched in pages:
+        if all(vouched):
+            which.append(-1)
+            continue
+        text = hashlib.blake2b("\n".join(blocks).encode("utf-8", "replace"), digest_size=16).digest()
+        k = place.setdefault(text, len(streams))
         if k == len(streams):
-            streams.append(own)
+            streams.append(np.array([zlib.crc32(w.encode("utf-8", "replace")) for b, main in zip(blocks, vouched, strict=True) if not main for w in b.split()], np.uint32))
         which.append(k)
     return streams, which
 
@@ -219,28 +238,27 @@ def told_tokens(streams: list[np.ndarray], min_run: int, host: int, repeated: np
 
 def extract_shard(pages: list[tuple[list[str], list[bool]]], min_run: int, min_pages: int, host: int = 0, repeated: np.ndarray | None = None) -> list[str]:
     """Main text of each page of a host, or of a shard that is told the host's repeated runs."""
-    if all(all(main) for _, main in pages):
-        undecided = False
-    else:
-        undecided = True
-    words = [[b.split() for b in blocks] for blocks, _ in pages]
-    streams, which = distinct_streams(words)
+    streams, which = undecided_streams(pages)
     found = repeated_tokens(streams, min_run, min_pages) if repeated is None else told_tokens(streams, min_run, host, repeated)
-    flags = [found[k] for k in which]
     out = []
-    for (blocks, vouched), own, flag in zip(pages, words, flags, strict=True):
-        if not undecided or all(vouched):
-            out.append("\n".join(blocks))
-            continue
+    for (blocks, vouched), k in zip(pages, which, strict=True):
         kept, at = [], 0
-        for block, main, tokens in zip(blocks, vouched, own, strict=True):
-            gone = flag[at : at + len(tokens)]
+        for block, main in zip(blocks, vouched, strict=True):
+            if main:
+                kept.append((block, True))
+                continue
+            tokens = block.split()
+            gone = found[k][at : at + len(tokens)]
             at += len(tokens)
-            if main or not gone.any():
-                kept.append(block)
+            if not gone.any():
+                kept.append((block, False))
             elif not gone.all():
-                kept.append(" ".join(w for w, g in zip(tokens, gone.tolist(), strict=True) if not g))
-        out.append("\n".join(kept))
+                kept.append((" ".join(w for w, g in zip(tokens, gone.tolist(), strict=True) if not g), False))
+        sizes = [len(b.split()) for b, _ in kept] if k >= 0 else []
+        inside = sum(n for n, (_, main) in zip(sizes, kept, strict=True) if main) if sizes else 0
+        if inside and 2 * inside >= sum(sizes):
+            kept = [b for b in kept if b[1]]
+        out.append("\n".join(b for b, _ in kept))
     return out
 
 
@@ -278,8 +296,8 @@ def main_text(
                 blocks, main = parse((raw.as_py() or b"").decode("utf-8", "replace"))
                 url = urls[k].as_py()
                 shard = hosts[k]
-                if shards[k] > 1:  # equal token streams meet in one shard
-                    tokens = hashlib.blake2b(" ".join(blocks).encode("utf-8", "replace"), digest_size=8).digest()
+                if shards[k] > 1:  # pages of equal text meet in one shard
+                    tokens = hashlib.blake2b("\n".join(blocks).encode("utf-8", "replace"), digest_size=8).digest()
                     spot = np.array([hosts[k]]).view(np.uint64) ^ hashing.mix64(np.array([int.from_bytes(tokens, "big") % shards[k] + 1], np.uint64))
                     shard = int(spot.view(np.int64)[0])
                 same = groups.setdefault((shard, hosts[k], shards[k] > 1), {})
@@ -330,7 +348,7 @@ def main_text(
         out: list[tuple[int, int, bytes]] = []
         for host, several, _, parsed in hosts_of(group):
             if several:
-                streams, _ = distinct_streams([[b.split() for b in blocks] for blocks, _ in parsed])
+                streams, _ = undecided_streams(parsed)
                 found, pages_of = shard_runs(streams, min_run, host)
                 to = common.bucket_of(found, 2 * n)  # ascending, as the hashes are
                 out += [(int(to[a]), key[0].as_py(), common.pack_arrays(found[a:b], pages_of[a:b].astype(np.int32))) for a, b in common.segments(to)]
