@@ -4,10 +4,11 @@ import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm.toxicity import BINS, drop_toxic, fit, score, toxicity, word_bins
+from weftline.llm.toxicity import BINS, Machine, drop_toxic, fit, score, toxicity, word_bins
 
 
 def made(n=3000, seed=1):
@@ -60,8 +61,35 @@ def test_drop_keeps_columns_and_empty_table(spark):
     left = {r.doc_id for r in out.collect()}
     assert sum((i in left) == (v == 0) for i, v in labels) > 1400
     assert toxicity(d.limit(0), y.limit(0)).collect() == []
-    with pytest.raises(ValueError, match="score"):
-        score(d.withColumn("score", F.lit(1)), fit(d, y))
+    clash = d.withColumns({"score": F.lit("own"), "a`b c.d": F.lit(1), "y": F.lit(7)})
+    assert drop_toxic(clash, y).schema == clash.schema and {r.doc_id for r in drop_toxic(clash, y).collect()} == left
+    scored = score(clash, fit(d, y))
+    assert scored.columns == ["doc_id", "text", "extra", "a`b c.d", "y", "score"] and dict(scored.dtypes)["score"] == "double"
+
+
+def test_repeated_ids_and_very_long_texts(spark):
+    docs, labels = made(600, 5)
+    y = spark.createDataFrame(labels, "doc_id long, toxic int")
+    long = "grubby martians " + "word1x " * 400_000
+    once = spark.createDataFrame([*docs, (700, long), (701, long[:1])], "doc_id long, text string")
+    again = once.unionAll(once.where("doc_id < 300")).unionAll(once.where("doc_id = 700"))
+    one, two = ({r.doc_id: r.score for r in toxicity(d, y).collect()} for d in (once, again))
+    assert one == two and toxicity(again, y).count() == 602 + 300 + 1 and one[700] > 0.5
+
+
+def test_scores_against_brute_force(spark):
+    """The machine written out: every pair of a text's bins, one by one."""
+    rng = random.Random(6)
+    words = [f"{rng.choice('abcdé')}{rng.choice('xyz')}{i}" for i in range(60)]
+    bins = sorted({b for w in words[:40] for b in word_bins(w)})
+    machine = Machine(rng.uniform(-1, 1), np.array(bins), np.array([rng.uniform(-1, 1) for _ in bins]), np.array([[rng.uniform(-1, 1) for _ in range(3)] for _ in bins]))
+    texts = [None, "", *(" ".join(rng.choice(words) + rng.choice(["", "!", "."]) for _ in range(rng.randint(1, 30))) for _ in range(50))]
+    got = {r.doc_id: r.score for r in score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), machine).collect()}
+    for i, text in enumerate(texts):
+        own = sorted({b for w in (text or "").lower().split() for b in word_bins(w)} & set(bins))
+        at = [bins.index(b) for b in own]
+        z = machine.constant + sum(machine.weight[k] for k in at) + sum(float(machine.vector[k] @ machine.vector[m]) for n, k in enumerate(at) for m in at[:n])
+        assert abs(got[i] - 1 / (1 + math.exp(-z))) < 1e-9
 
 
 def test_every_telling_bin_is_kept(spark):

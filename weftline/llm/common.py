@@ -28,7 +28,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters end words; nothing else does.
@@ -46,13 +46,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def column(name: str) -> Column:
+    """A column by its name, whatever characters that holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str, rest: list[str] | None = None) -> DataFrame:
     """The two columns an operator needs, under names of its own: extra columns cannot clash.
 
     ``rest`` names columns that travel along unchanged, in one struct."""
-    own = [F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")]
+    own = [column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text")]
     if rest:
-        own.append(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]).alias("rest"))
+        own.append(F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(rest)]).alias("rest"))
     return docs.select(*own)
 
 

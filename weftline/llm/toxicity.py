@@ -12,7 +12,7 @@ one pass over all texts with no shuffle.
 
 Defined cases: null and empty texts score the machine's constant; rows with null id score like
 others and are never held out; labels that are null are not used, repeated labels of an id count
-once as their maximum; without labels, or with one class only, the score is the smoothed base
+once as their maximum, and repeated documents of an id once in the sample, with their least text; without labels, or with one class only, the score is the smoothed base
 rate; an empty table gives an empty result; extra columns play no part.
 """
 
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.llm import common
 
@@ -137,7 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.where(~held_out("doc_id", folds)).groupBy("doc_id").agg(F.max("y").alias("y"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # of bounded size, so it may be broadcast
     # one scan finds the sample's texts; both passes over them read the small table it leaves
-    rows = common.saved(texts.join(F.broadcast(sample), "doc_id").select("text", "y").repartition(PARTS))
+    found = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    rows = common.saved(found.select("text", "y").repartition(PARTS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = _Terms(None)
@@ -176,27 +178,38 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Machine(constant, bins, weight, vector)
 
 
-def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs, and ``score`` (0 to 1) beside them; the text column alone is read for it."""
-    fields = docs.schema.fields
-    if "score" in docs.columns:
-        raise ValueError("docs already has a column named score")
-    text_at = docs.columns.index(text_col)
+def _scores(machine: Machine):
+    """Texts -> their scores."""
+    terms = _Terms(machine.bins)
+
+    def run(texts: pa.Array) -> np.ndarray:
+        out = np.empty(len(texts))
+        for k, text in enumerate(_texts(texts)):
+            own = terms.of(text)
+            v = machine.vector[own]
+            z = machine.constant + machine.weight[own].sum() + 0.5 * ((v.sum(axis=0) ** 2).sum() - (v**2).sum())
+            out[k] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return out
+
+    return run
+
+
+def score(docs: DataFrame, machine: Machine, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """All columns of docs, and ``score_col`` (0 to 1) beside them, in place of a column of that name; the text
+    column alone is read for it."""
+    rest = [f for f in docs.schema.fields if f.name != score_col]
+    at, text_at = [docs.columns.index(f.name) for f in rest], docs.columns.index(text_col)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names may hold any characters
+    names = [f"c{i}" for i in at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = _Terms(machine.bins)
+        scores = _scores(machine)
         for batch in batches:
-            out = np.empty(batch.num_rows)
-            for k, text in enumerate(_texts(batch.column(text_at))):
-                own = terms.of(text)
-                v = machine.vector[own]
-                z = machine.constant + machine.weight[own].sum() + 0.5 * ((v.sum(axis=0) ** 2).sum() - (v**2).sum())
-                out[k] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in at), pa.array(scores(batch.column(text_at)))], names=[*names, "score"])
         common.release()
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return docs.mapInArrow(run, f"{schema}, score double")
+    schema = T.StructType([*(T.StructField(n, f.dataType) for n, f in zip(names, rest, strict=True)), T.StructField("score", T.DoubleType())])
+    return plain.mapInArrow(run, schema).toDF(*(f.name for f in rest), score_col)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,7 +222,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are not predicted toxic, columns unchanged."""
     machine = fit(docs, labels, id_col, text_col)
-    return score(docs, machine, id_col, text_col).where("score < 0.5").drop("score")
+    text_at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = _scores(machine)
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column(text_at)) < 0.5))
+        common.release()
+
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names may hold any characters
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
