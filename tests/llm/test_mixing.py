@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from weftline.llm import mixing
 from weftline.llm.mixing import mix, mixed_documents, splitting_tree, targets
 
 
@@ -86,3 +87,32 @@ def test_mixed_documents(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string, n_chars long")
     assert mix(docs).collect() == [] and mixed_documents(docs).collect() == []
+
+
+def test_more_words_than_blocks_can_count(spark, monkeypatch):
+    """Larger blocks change which documents are taken, not how many words."""
+    docs = spark.createDataFrame(made(), "doc_id long, text string, source string, target int")
+    few = mix(docs, block_words=10, shards=4)
+    want = {r.target: r.taken for r in few.groupBy("target").sum("taken").withColumnRenamed("sum(taken)", "taken").collect()}
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 20)
+    many = mix(docs, block_words=10, shards=4)
+    got = {r.target: r.taken for r in many.groupBy("target").sum("taken").withColumnRenamed("sum(taken)", "taken").collect()}
+    assert all(abs(got[t] - want[t]) <= 3 for t in want) and got.keys() == want.keys()
+    assert all(r.taken <= 3 * r.size for r in many.collect())
+
+
+def test_shards_follow_the_size_and_hold_the_tree_s_quotas(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 9), i % 5) for i in range(900)], "doc_id long, text string, source int")
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 50)
+    got = mix(docs, block_words=1).collect()
+    total = sum(r.size for r in got)
+    used = {s for r in got for s in r.shards}
+    assert max(used) < -(-total // 50) and len(used) > 32
+    # blocks of about one document: a shard's copies are its quota, up to blocks that hold none or several
+    per = np.bincount([s for r in got for s in r.shards], minlength=-(-total // 50))
+    assert per.sum() == sum(len(r.shards) for r in got) and per.max() < 40
+
+
+def test_draws_beyond_the_generator_are_refused():
+    with pytest.raises(ValueError):
+        splitting_tree([1 << 30, 5], 2)

@@ -8,13 +8,16 @@ Taking: a source gives ``target`` words: every document as often as the target h
 size, and once more the documents that come first in a seeded permutation, the last of them in
 part, so the source meets its target to within a word.
 
-Splitting: the permutation cuts a source into blocks of about ``block_words`` words.  A binary tree over
-the output shards divides the vector of block counts: at each node the left half gets a multivariate
-hypergeometric draw, so every shard gets an exact quota of every source and the quotas add up.  Each
-source's block copies are then dealt in a second permutation, disjointly, and a shard orders what it
-got by hash.
-
-Texts stay where they are: sizes are counted in one narrow pass, what the driver sees is one row a
+Splitting: the permutation cuts a source into blocks of about ``block_words`` words, or of more where that
+would make over ``MOST_BLOCKS`` of them, which is what the exact draws below can count.  What is taken of a source
+is a number of block copies, the source's quota.  A binary tree over the output shards divides the vector of
+quotas: at each node the left half gets a multivariate hypergeometric draw, so every shard gets an exact
+quota of every source and the quotas add up.  A source's block copies are then dealt to the shards by
+their number times a step without common factor with their count (a fixed permutation, so disjointly),
+and a shard orders what it got by hash.  There are ``SHARDS`` shards, or one for each ``SHARD_WORDS`` words of all
+sizes if that is more.
+
+Texts stay where they are: sizes are counted in one pass and saved, what the driver sees is one row a
 source (at most ``max_sources``, checked) and the tree's quotas, and taking is decided row by row from
 the source's numbers.
 
@@ -36,9 +39,9 @@ from pyspark.sql import types as T
 
 from weftline.llm import common
 
-CAP, SEED, BLOCK_WORDS, SHARDS, MAX_SOURCES = 3, 17, 1 << 18, 32, 100_000
-#: Largest draw that the generator makes exactly.
-_DRAW_LIMIT = 1_000_000_000
+CAP, SEED, BLOCK_WORDS, SHARDS, SHARD_WORDS, MAX_SOURCES = 3, 17, 1 << 18, 32, 1 << 25, 100_000
+#: Block copies of all sources together; the generator draws exactly below a thousand million.
+MOST_BLOCKS = 1 << 28
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], cap: float = CAP) -> list[float]:
@@ -61,16 +64,13 @@ def targets(sizes: Sequence[int], weights: Sequence[float], cap: float = CAP) ->
 
 
 def _draw(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
-    """n of sum(counts) items without replacement, by kind."""
+    """n of sum(counts) items without replacement, by kind; sums of a thousand million and more are refused."""
     out, rest = np.zeros_like(counts), int(counts.sum())
     for i, c in enumerate(counts.tolist()):
         rest -= c
         if n <= 0:
             break
-        if c + rest < _DRAW_LIMIT:
-            k = int(rng.hypergeometric(c, rest, n)) if c else 0
-        else:  # the share itself is exact to far below one block in a thousand
-            k = min(c, max(n - rest, round(n * c / (c + rest))))
+        k = int(rng.hypergeometric(c, rest, n)) if c else 0
         out[i], n = k, n - k
     return out
 
@@ -96,7 +96,7 @@ def _place(seed: int) -> Column:
 
 
 def _narrow(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).alias("_source"))
+    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).cast("string").alias("_source"))
     return own.select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), _size(F.col("_text")).alias("size"), _place(seed).alias("place"))
 
 
@@ -114,7 +114,7 @@ class Plan:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, block_words: int, cap: float, weights: Sequence[float], max_sources: int):
         spark = docs.sparkSession
-        self.rows = _narrow(docs, id_col, text_col, source_col, seed)
+        self.rows = common.saved(_narrow(docs, id_col, text_col, source_col, seed))
         sums = self.rows.groupBy("source").agg(F.sum("size").alias("words")).limit(max_sources + 1).collect()
         if len(sums) > max_sources:
             raise ValueError(f"more than {max_sources} sources; raise max_sources")
@@ -125,6 +125,8 @@ class Plan:
         take = [min(int(t + 0.5), int(cap * s)) for t, s in zip(self.targets, sizes, strict=True)]
         self.whole = [t // s if s else 0 for t, s in zip(take, sizes, strict=True)]
         self.rest = [t - q * s for t, q, s in zip(take, self.whole, sizes, strict=True)]
+        self.total = sum(sizes)
+        block_words = max(block_words, -(-int((cap + 1) * self.total) // MOST_BLOCKS))
         self.blocks = [max(1, -(-s // block_words)) for s in sizes]
         schema = "source string, words long, target double, whole int, rest long, blocks long"
         first = spark.createDataFrame(list(zip(self.sources, sizes, self.targets, self.whole, self.rest, self.blocks, strict=True)), schema)
@@ -160,6 +162,9 @@ class Plan:
         last = places.withColumn("within", within).where("within < rest and within + words >= rest")
         return {number[r.source]: (r.block, r.place, (r.rest - r.within) // r.ties) for r in last.collect()}
 
+    def shards(self, asked: int | None) -> int:
+        return asked or max(SHARDS, -(-self.total // SHARD_WORDS))
+
     def copies(self) -> list[int]:
         """Block copies of each source: all blocks for a whole pass, those up to the cut for the last."""
         return [q * b + c + 1 for q, b, c in zip(self.whole, self.blocks, self.cut_block, strict=True)]
@@ -209,7 +214,7 @@ def mix(
     docs: DataFrame,
     weights: Sequence[float] = (1, 2, 3),
     cap: float = CAP,
-    shards: int = SHARDS,
+    shards: int | None = None,
     seed: int = SEED,
     block_words: int = BLOCK_WORDS,
     id_col: str = "doc_id",
@@ -219,6 +224,7 @@ def mix(
 ) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, shards (one for each copy)."""
     plan = Plan(docs, id_col, text_col, source_col, seed, block_words, cap, weights, max_sources)
+    shards = plan.shards(shards)
     out = plan.decided(plan.rows).withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + (F.col("part") > 0).cast("int")).otherwise(0))
     return out.select("doc_id", "size", "source_size", "target", "taken", _shard_of(plan, shards, seed).alias("shards"))
 
@@ -227,7 +233,7 @@ def mixed_documents(
     docs: DataFrame,
     weights: Sequence[float] = (1, 2, 3),
     cap: float = CAP,
-    shards: int = SHARDS,
+    shards: int | None = None,
     seed: int = SEED,
     block_words: int = BLOCK_WORDS,
     id_col: str = "doc_id",
@@ -239,8 +245,9 @@ def mixed_documents(
     """The mix itself: docs' columns, a row for each copy, the last of a source cut to its part of the
     words; a shard's rows lie together, in hash order.  Blank documents have no words to take."""
     plan = Plan(docs, id_col, text_col, source_col, seed, block_words, cap, weights, max_sources)
+    shards = plan.shards(shards)
     columns = docs.columns
-    row = docs.select(F.struct(*columns).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).alias("_source"))
+    row = docs.select(F.struct(*columns).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).cast("string").alias("_source"))
     row = row.select("_row", F.col("_source").alias("source"), _size(F.col("_text")).alias("size"), _place(seed).alias("place"))
     out = plan.decided(row).where("taken > 0").withColumn("copies", F.col("whole") + (F.col("part") > 0).cast("int"))
     out = out.select("_row", "place", "whole", "part", "size", F.posexplode(_shard_of(plan, shards, seed)).alias("copy", "shard"))
