@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,3 +66,13 @@ def test_without_labels_only_the_base_checks_hold(spark):
     assert all(r.kept for r in judge(d, y.limit(0)).collect())
     assert all(r.kept for r in judge(d, y).collect())  # too few to be sure of anything
     assert judge(d.limit(0), y).collect() == []
+
+
+def test_long_repetitive_texts(spark):
+    """The work is in proportion to a text's length (and its logarithm), whatever it repeats."""
+    texts = ["a b c d " * 40_000, "the end. \n" * 30_000, " ".join(f"{i} {i % 7}" for i in range(60_000))]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    began = time.perf_counter()
+    got = sorted(tuple(r) for r in features(docs).drop("stratum").collect())
+    assert time.perf_counter() - began < 60
+    assert got == [(i, *brute(t)) for i, t in enumerate(texts)]

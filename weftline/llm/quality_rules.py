@@ -10,7 +10,8 @@ together at most alpha.  Of a rule's safe cutoffs the one that removes most bad
 good one is used; a rule without a safe cutoff, or that removes no bad document, stays off.
 
 The base checks come first and do not depend on labels: under ``min_words`` words, or over
-``repeat_percent`` percent of the words inside windows of ``window`` words that the text repeats.
+``repeat_percent`` percent of the words inside windows of ``window`` words that the text repeats.  Windows of a text are
+compared by their 64-bit hash: a text of n windows has a chance of n^2 / 2^65 of a false repeat.
 
 Defined cases: null text has no words, so it fails the base checks; null language is a stratum of
 its own; rows with null or unlabelled ids are judged like others but calibrate nothing; labels are
@@ -40,27 +41,10 @@ RULES: dict[str, tuple[str, str, bool, tuple[int, ...]]] = {
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
-def _repeated(windows: Column, width: int) -> Column:
-    """Words covered by windows that occur twice or more: sort the windows, keep those equal to a
-    neighbour, and add up how far each reaches beyond the one before."""
-    ranked = F.sort_array(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-    runs = F.aggregate(
-        ranked,
-        # places: of windows known to be repeated; the last window and its place, and whether it was added
-        F.struct(F.array().cast("array<int>").alias("places"), F.lit(None).cast("string").alias("w"), F.lit(-1).alias("i"), F.lit(True).alias("added")),
-        lambda acc, x: F.when(
-            x["w"].eqNullSafe(acc["w"]),
-            F.struct(
-                F.concat(acc["places"], F.when(acc["added"], F.array(x["i"])).otherwise(F.array(acc["i"], x["i"]))).alias("places"),
-                x["w"].alias("w"),
-                x["i"].alias("i"),
-                F.lit(True).alias("added"),
-            ),
-        ).otherwise(F.struct(acc["places"].alias("places"), x["w"].alias("w"), x["i"].alias("i"), F.lit(False).alias("added"))),
-        lambda acc: acc["places"],
-    )
+def _covered(places: Column, width: int) -> Column:
+    """Words that windows at these places cover together: how far each reaches beyond the one before."""
     return F.aggregate(
-        F.sort_array(runs),
+        F.sort_array(places),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(-width).alias("last")),
         lambda acc, p: F.struct((acc["n"] + F.least(F.lit(width), p - acc["last"])).cast("long").alias("n"), p.alias("last")),
         lambda acc: acc["n"],
@@ -69,31 +53,36 @@ def _repeated(windows: Column, width: int) -> Column:
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, stratum and the counts that the rules compare."""
+    counts = ["doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines"]
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    spaced = F.regexp_replace("text", _SPACE, " ")
-    # a lookahead reads the window at each word start; the word itself is what a match consumes
-    read = r"(?=([^ ]++(?: [^ ]++){%d}+))[^ ]++" % (window - 1)
-    lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(common.WORD))
+    # each step's arrays are columns that the next one reads several times, so they are made once a row
     own = own.select(
         "doc_id",
         "stratum",
-        F.regexp_count("text", F.lit(common.WORD)).cast("long").alias("n_words"),
-        F.length(F.regexp_replace("text", _SPACE, "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        lines.alias("lines"),
-        F.regexp_extract_all(spaced, F.lit(read), F.lit(1)).alias("windows"),
+        F.filter(F.split("text", "\n", -1), lambda x: x.rlike(common.WORD)).alias("lines"),
+        F.filter(F.split("text", _SPACE, -1), lambda x: x != "").alias("words"),
     )
-    repeats = F.when(F.size("windows") == F.size(F.array_distinct("windows")), F.lit(0).cast("long")).otherwise(_repeated(F.col("windows"), window))
-    return own.select(
+    starts = F.slice("words", F.lit(1), F.greatest(F.size("words") - (window - 1), F.lit(0)))
+    own = own.select(
         "doc_id",
         "stratum",
-        "n_words",
-        "word_chars",
+        F.size("words").cast("long").alias("n_words"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         "n_symbols",
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeats.alias("n_repeat_words"),
+        F.transform(starts, lambda w, i: F.xxhash64(F.slice("words", i + 1, F.lit(window)))).alias("windows"),
     )
+    # windows in order of their hash, where the text repeats any
+    repeats = F.size("windows") > F.size(F.array_distinct("windows"))
+    ranked = F.sort_array(F.transform("windows", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    own = own.select(*counts, F.when(repeats, ranked).alias("ranked"))
+    w, n = F.col("ranked"), F.size("ranked")
+    before = lambda x, k: (k > 0) & (F.get(w, k - 1)["w"] == x["w"])
+    after = lambda x, k: (k < n - 1) & (F.get(w, k + 1)["w"] == x["w"])
+    places = F.filter(F.transform(w, lambda x, k: F.when(before(x, k) | after(x, k), x["i"])), lambda i: i.isNotNull())
+    return own.select(*counts, F.coalesce(_covered(places, window), F.lit(0).cast("long")).alias("n_repeat_words"))
 
 
 def _base_failed(min_words: int, repeat_percent: int) -> Column:
