@@ -41,3 +41,12 @@ def test_decoding_joins_the_table(spark):
 
 def test_empty_table(spark):
     assert encode_texts(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+@pytest.mark.parametrize("pattern", [r"\s+|\w+|[^\s\w]+", r"[^ ]+ ?| ", r"(?:\w+\s)+|."])
+def test_other_patterns(spark, pattern):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    rows = corpus(20, 4) + [(1000 + i, t) for i, t in enumerate(ODD)]
+    got = encode_texts(spark.createDataFrame(rows, "doc_id long, text string"), pattern=pattern).collect()
+    assert sorted((str(r.doc_id), list(r.ids)) for r in got) == sorted((str(i), enc.encode_ordinary(t or "")) for i, t in rows)

@@ -5,9 +5,9 @@ encoded once, in the bucket its hash names; its ids go back to the blocks that h
 texts are reassembled by position.  Decoding joins the ids with the token-byte table.
 
 A block keeps one entry for each distinct word, so common words cost an entry a block.  No
-token ever reaches over the start of a white-space run, so a text cut before its single spaces
-can be split piece by piece; the pattern runs on each block's distinct pieces, and on the whole
-text where white space comes in other forms.
+token of the default pattern ever reaches over the start of a white-space run, so a text cut before its
+single spaces can be split piece by piece; the pattern runs on each block's distinct pieces, and on the
+whole text where white space comes in other forms or the pattern is another.
 
 The vocabulary is read once on the driver and broadcast: it has a fixed size (50,256 entries for
 the default file).
@@ -81,13 +81,18 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(total)
 
 
-def _pieces(block: Block, findall) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-    """(piece code of every position, bounds by document, pre-tokens of each piece)."""
+def _pieces(block: Block, findall, by_space: bool) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+    """(piece code of every position, bounds by document, pre-tokens of each piece).
+
+    ``by_space``: the pattern allows texts to be cut before single spaces; else each text is one piece."""
     inner: defaultdict[str, int] = defaultdict(itertools.count().__next__)  # after a space
     whole: dict[str, int] = {}  # as it stands
     codes: list[np.ndarray] = []
     texts = [t.decode("utf-8", "replace") for t in block.texts()]
     for text in texts:
+        if not by_space:
+            codes.append(np.array([~whole.setdefault(text, len(whole))]))
+            continue
         first, *rest = text.split(" ")
         own = np.empty(len(rest) + 1, np.int64)
         own[0] = ~whole.setdefault(first, len(whole))
@@ -108,11 +113,11 @@ def _pieces(block: Block, findall) -> tuple[np.ndarray, np.ndarray, list[list[st
 
 def _emit(pattern: str, buckets: int):
     def emit(key: int, block: Block) -> Iterator[list[tuple[int, int, int, bytes]]]:
-        if "pattern" not in _cache:
-            import regex
+        import regex
 
-            _cache["pattern"] = regex.compile(pattern)
-        flat, bounds, parts = _pieces(block, _cache["pattern"].findall)
+        compiled = regex.compile(pattern)  # the module keeps it
+        findall = compiled.findall if not compiled.groups else lambda text: [m[0] for m in compiled.finditer(text)]
+        flat, bounds, parts = _pieces(block, findall, pattern == public_tokenizers.PATTERN)
         # frequent pieces get small codes, which compress well
         order = np.argsort(-np.bincount(flat, minlength=len(parts)), kind="stable")
         rank = np.empty(len(parts), np.int64)
@@ -158,7 +163,10 @@ def _merge(vocabulary):
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum()))
         starts = np.cumsum(lengths) - lengths
-        return [(0, block, bucket, common.pack_arrays(lengths[w].astype(np.uint32), flat[ragged(starts[w], lengths[w])])) for block, w in wanted]
+        out = [(0, block, bucket, common.pack_arrays(lengths[w].astype(np.uint32), flat[ragged(starts[w], lengths[w])])) for block, w in wanted]
+        del at, ids, wanted
+        common.release()
+        return out
 
     return merge
 
@@ -185,10 +193,10 @@ def _finish(vocabulary, with_ids: bool, with_text: bool):
         size = np.diff(vocab.starts)[tokens]
         data = vocab.bytes[ragged(vocab.starts[tokens], size)].tobytes()
         cut = np.r_[0, np.cumsum(size)][edge].tolist()
-        listed, decimal, edges = tokens.tolist(), vocab.decimal, edge.tolist()
+        decimal, edges = vocab.decimal, edge.tolist()
         id_sha, text_sha, texts = [], [], []
         for k in range(len(ids)):
-            id_sha.append(hashlib.sha256(" ".join([decimal[i] for i in listed[edges[k] : edges[k + 1]]]).encode()).hexdigest())
+            id_sha.append(hashlib.sha256(" ".join([decimal[i] for i in tokens[edges[k] : edges[k + 1]].tolist()]).encode()).hexdigest())
             text_sha.append(hashlib.sha256(data[cut[k] : cut[k + 1]]).hexdigest())
             if with_text:
                 texts.append(data[cut[k] : cut[k + 1]].decode("utf-8", "replace"))
