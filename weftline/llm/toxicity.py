@@ -89,40 +89,44 @@ def _ratio(n: np.ndarray, a: np.ndarray, rows: int, positive: int) -> np.ndarray
     return 2 * (part(a, n * p) + part(n - a, n * (1 - p)) + part(positive - a, (rows - n) * p) + part(rows - n - positive + a, (rows - n) * (1 - p)))
 
 
-def _train(rows: list[list[int]], labels: np.ndarray, terms: int, factors: int, steps: int = 400, rate: float = 0.1, penalty: float = 1e-5, positive: float = 3.0) -> tuple[float, np.ndarray, np.ndarray]:
-    """Logistic loss with positive rows weighing ``positive`` (they are few), full-batch Adam; repeatable."""
+def _train(rows: list[list[int]], labels: np.ndarray, terms: int, factors: int, updates: int = 400, passes: int = 40, batch: int = 1024, rate: float = 0.1, penalty: float = 1e-5, positive: float = 3.0) -> tuple[float, np.ndarray, np.ndarray]:
+    """Logistic loss with positive rows weighing ``positive`` (they are few), Adam over batches in a fixed shuffled
+    order, its rate falling to nothing; at least ``updates`` updates and ``passes`` passes; repeatable."""
     rng = np.random.default_rng(7)
     base = float(np.log(labels.mean() / (1 - labels.mean())))
     params = [np.array([base]), np.zeros(terms), rng.normal(0, 0.01, (terms, factors))]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    col = np.fromiter((c for r in rows for c in r), np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    n = len(rows)
-    weigh = np.where(labels > 0, positive, 1.0)
-    weigh /= weigh.sum()
-
-    def gather(values: np.ndarray) -> np.ndarray:
+    parts = []
+    for own in np.array_split(rng.permutation(len(rows)), max(1, -(-len(rows) // batch))):
+        held = [rows[k] for k in own.tolist()]
+        col = np.fromiter((c for r in held for c in r), np.int64)
+        y = labels[own]
+        weigh = np.where(y > 0, positive, 1.0)
+        parts.append((col, np.repeat(np.arange(len(own)), [len(r) for r in held]), y, weigh / weigh.sum()))
+
+    def gather(row: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
         return np.stack([np.bincount(row, weights=values[:, k], minlength=n) for k in range(values.shape[1])], axis=1)
 
-    for step in range(1, steps + 1):
-        c, w, v = params
-        own = v[col]
-        total = gather(own)
-        z = c[0] + np.bincount(row, weights=w[col], minlength=n) + 0.5 * (total**2 - gather(own**2)).sum(axis=1)
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * weigh
-        e = error[row]
-        pull = e[:, None] * (total[row] - own)
-        grads = [
-            np.array([error.sum()]),
-            np.bincount(col, weights=e, minlength=terms) + penalty * w / n**0.5,
-            np.stack([np.bincount(col, weights=pull[:, k], minlength=terms) for k in range(factors)], axis=1) + penalty * v,
-        ]
-        for i, g in enumerate(grads):
-            m, s = moments[i]
-            m = 0.9 * m + 0.1 * g
-            s = 0.999 * s + 0.001 * g * g
-            moments[i] = (m, s)
-            params[i] = params[i] - rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
+    total_steps, step = max(passes, -(-updates // len(parts))) * len(parts), 0
+    while step < total_steps:
+        for k in rng.permutation(len(parts)).tolist():
+            col, row, y, weigh = parts[k]
+            step += 1
+            c, w, v = params
+            own, n = v[col], len(y)
+            total = gather(row, own, n)
+            z = c[0] + np.bincount(row, weights=w[col], minlength=n) + 0.5 * (total**2 - gather(row, own**2, n)).sum(axis=1)
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weigh
+            e = error[row]
+            pull = e[:, None] * (total[row] - own)
+            grads = [np.array([error.sum()]), np.bincount(col, weights=e, minlength=terms) + penalty * w / len(rows) ** 0.5, gather(col, pull, terms) + penalty * v]
+            now = rate * (1 - (step - 1) / total_steps)
+            for i, g in enumerate(grads):
+                m, s = moments[i]
+                m = 0.9 * m + 0.1 * g
+                s = 0.999 * s + 0.001 * g * g
+                moments[i] = (m, s)
+                params[i] = params[i] - now * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
     return float(params[0][0]), params[1], params[2]
 
 
