@@ -27,9 +27,12 @@ _COLUMNS = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
 _WORD = re.compile(r"\w+|[^\w\s]")
 # The org syntax that segments are cleaned and cut by.
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
-_DRAWER, _END = re.compile(r"[ \t]*:([\w-]+):[ \t]*$", re.A), re.compile(r"[ \t]*:END:[ \t]*$", re.I)
-_BLOCK, _BLOCK_END = re.compile(r"[ \t]*#\+begin_", re.I), re.compile(r"[ \t]*#\+end_", re.I)
-_SETTING, _COMMENT = re.compile(r"[ \t]*#\+\S"), re.compile(r"[ \t]*#(?:[ \t].*)?$")
+_DRAWER = re.compile(r"^[ \t]*:([A-Za-z0-9_-]+):[ \t]*$")
+_END = re.compile(r"^[ \t]*:END:[ \t]*$", re.IGNORECASE)
+_BLOCK = re.compile(r"^[ \t]*#\+begin_", re.IGNORECASE)
+_BLOCK_END = re.compile(r"^[ \t]*#\+end_", re.IGNORECASE)
+_SETTING = re.compile(r"^[ \t]*#\+\S")
+_COMMENT = re.compile(r"^[ \t]*#(?:[ \t].*)?$")
 _STRUCTURED = re.compile(r"[ \t]*(?:[-+*]\s|\d+[.)]\s|\|)")
 
 
@@ -207,15 +210,21 @@ def crumbs(title: str, heading: dict | None) -> str:
     return " > ".join(p for p in parts if p)
 
 
-def chunk(note: dict, settings: Settings, count: Counter) -> list[dict]:
-    """Chunks of one parsed note, numbered through the note and within each heading."""
+def segments(note: dict) -> list[tuple[dict | None, int, int]]:
+    """(heading, start, end) of what stands before the first heading and below each heading's line."""
     text, heads = note["text"], list(note["headings"])
-    segments: list[tuple[dict | None, int, int]] = [(None, 0, heads[0]["char_start"] if heads else len(text))]
+    out: list[tuple[dict | None, int, int]] = [(None, 0, heads[0]["char_start"] if heads else len(text))]
     for h in heads:
         line_end = text.find("\n", h["char_start"], h["char_end"])
-        segments.append((h, line_end + 1 if line_end >= 0 else h["char_end"], h["char_end"]))
+        out.append((h, line_end + 1 if line_end >= 0 else h["char_end"], h["char_end"]))
+    return out
+
+
+def chunk(note: dict, settings: Settings, count: Counter) -> list[dict]:
+    """Chunks of one parsed note, numbered through the note and within each heading."""
+    text = note["text"]
     out: list[dict] = []
-    for heading, start, end in segments:
+    for heading, start, end in segments(note):
         clean = Cleaned(text[start:end], start)
         if not clean.text.strip():
             continue
@@ -248,6 +257,35 @@ def chunk(note: dict, settings: Settings, count: Counter) -> list[dict]:
     return out
 
 
+_NOTE = ("path", "note_id", "title", "headings", "text")
+
+
+def segments_of(notes: DataFrame) -> DataFrame:
+    """Parsed notes -> path, heading_index (0 before the first heading), body_start, body_end, crumbs."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(note["path"], h["index"] if h else 0, a, b, crumbs(note["title"], h)) for note in batch.to_dict("records") for h, a, b in segments(note)]
+            yield pd.DataFrame(rows, columns=["path", "heading_index", "body_start", "body_end", "crumbs"])
+
+    return notes.select(*_NOTE).mapInPandas(run, "path string, heading_index int, body_start int, body_end int, crumbs string")
+
+
+def split_texts(texts: DataFrame, kinds: tuple[str, ...] = _TIERS) -> DataFrame:
+    """(doc_id, text) -> doc_id, text, separator and the pieces that each separator leaves, which add up to the text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for i, text in zip(batch["doc_id"], batch["text"], strict=True):
+                for kind in kinds:
+                    ends = _cuts(text, kind)
+                    rows.append((i, text, kind, [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True) if b > a]))
+            yield pd.DataFrame(rows, columns=["doc_id", "text", "separator", "pieces"])
+
+    return texts.select("doc_id", "text").where("text is not null").mapInPandas(run, "doc_id long, text string, separator string, pieces array<string>")
+
+
 def chunk_notes(notes: DataFrame, settings: Settings) -> DataFrame:
     """Parsed notes -> chunks; a note without prose has none."""
 
@@ -258,4 +296,4 @@ def chunk_notes(notes: DataFrame, settings: Settings) -> DataFrame:
             out = pd.DataFrame(rows, columns=_COLUMNS)
             yield out.astype({"heading_level": "Int32"})
 
-    return notes.select("path", "note_id", "title", "headings", "text").mapInPandas(run, CHUNK_SCHEMA)
+    return notes.select(*_NOTE).mapInPandas(run, CHUNK_SCHEMA)

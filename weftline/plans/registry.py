@@ -16,7 +16,7 @@ from weftline.config import Settings
 from weftline.functions import anchoring, text, vectors
 from weftline.operators import chunk, exclude, finalize, frontend, judge, parse, refresh, retrieve
 from weftline.sources.corpus import org_view
-from weftline.streaming.watch import newer_than_watermark
+from weftline.streaming.watch import bursts, newer_than_watermark
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -95,7 +95,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("title_from_path", "SELECT url, trim(translate(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '(?i)\\.org$', ''), '_-', '  ')) AS title FROM pages")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "pages").select("url", text.title_from_path(F.col("url")).alias("title"))
+    return parse.parse_notes(_t(spark, d, "pages").select(F.col("url").alias("path"), F.lit("").alias("text"))).select(F.col("path").alias("url"), "title")
 
 
 @query(
@@ -103,7 +103,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {ORG} SELECT path, title FROM org",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return org_view(_t(spark, d, "documents")).select("path", text.note_title(F.col("text"), F.col("path")).alias("title"))
+    # the title line alone: the drawer, headings and links do not matter for it
+    titled = org_view(_t(spark, d, "documents")).select("path", F.regexp_extract("text", r"(?m)^#\+title:.*$", 0).alias("text"))
+    return parse.parse_notes(titled).select("path", "title")
 
 
 @query(
@@ -113,7 +115,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     value = F.concat(F.lit('"'), F.coalesce("lang", F.lit("x")), F.lit(" "), F.col("doc_id").cast("string"), F.lit('" '), F.coalesce("source", F.lit("y")), F.lit(' ""'))
-    return _t(spark, d, "documents").select("doc_id", F.array_join(text.alias_tokens(value), "|").alias("aliases"))
+    drawer = F.concat(F.lit(":PROPERTIES:\n:ROAM_ALIASES: "), value, F.lit("\n:END:\n"))
+    notes = parse.parse_notes(_t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), drawer.alias("text")))
+    return notes.select(F.col("path").cast("long").alias("doc_id"), F.array_join("aliases", "|").alias("aliases"))
 
 
 @query(
@@ -125,7 +129,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     lead = F.when(F.col("turn") % 3 == 0, "TODO ").when(F.col("turn") % 3 == 1, "DONE  ").otherwise("")
     tail = F.when(F.col("turn") % 2 == 0, " :a:b_1:").otherwise("")
     raw = F.concat(lead, F.regexp_replace("text", r"\s+", " "), tail)
-    return _t(spark, d, "conversations").select("conv_id", "turn", text.heading_text(raw).alias("heading"))
+    notes = parse.parse_notes(_t(spark, d, "conversations").select(F.concat_ws(" ", "conv_id", "turn").alias("path"), F.concat(F.lit("* "), raw).alias("text")))
+    at, kinds = F.split("path", " "), dict(_t(spark, d, "conversations").dtypes)
+    return parse.headings_of(notes).select(at[0].cast(kinds["conv_id"]).alias("conv_id"), at[1].cast(kinds["turn"]).alias("turn"), F.col("text").alias("heading"))
 
 
 # -- chunks ------------------------------------------------------------------
@@ -139,21 +145,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
       UNION ALL SELECT path, CAST(number AS INTEGER), CAST(least(begun + length(line) + 1, stop) AS INTEGER), CAST(stop AS INTEGER) FROM spans""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    notes = _notes(spark, d)
-    first = F.coalesce(F.get("headings", F.lit(0))["char_start"], F.length("text"))
-    preamble = F.struct(F.lit(0).alias("heading_index"), F.lit(0).alias("body_start"), first.alias("body_end"))
-    bodies = F.transform(
-        "headings",
-        lambda h: F.struct(
-            h["index"].alias("heading_index"),
-            F.least(h["char_end"], h["char_start"] + F.length(F.substring_index(F.substring("text", h["char_start"] + 1, h["char_end"] - h["char_start"]), "\n", 1)) + 1).alias("body_start"),
-            h["char_end"].alias("body_end"),
-        ),
-    )
-    return notes.select("path", F.explode(F.concat(F.array(preamble), bodies)).alias("s")).select("path", "s.*")
+    return chunk.segments_of(_notes(spark, d)).drop("crumbs")
 
 
-_KINDS = {"paragraph": r"\n\n", "line": r"\n", "sentence": r"[.!?]\s+", "word": " "}
+_KINDS = {"para": r"\n\n", "line": r"\n", "sentence": r"[.!?]\s+", "word": " "}
 
 
 @query(
@@ -165,17 +160,14 @@ _KINDS = {"paragraph": r"\n\n", "line": r"\n", "sentence": r"[.!?]\s+", "word":
     ),
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    docs = _t(spark, d, "documents").where("text is not null")
-    cut = F.array(*[F.struct(F.lit(k).alias("separator"), text.split_keeping(F.col("text"), k).alias("p")) for k in _KINDS])
-    rows = docs.select("doc_id", "text", F.explode(cut).alias("c"))
-    longest = F.coalesce(F.array_max(F.transform("c.p", F.length)), F.lit(0))
-    return rows.select("doc_id", "c.separator", F.size("c.p").alias("n"), longest.alias("longest"), (F.array_join("c.p", "") == F.col("text")).alias("whole"))
+    rows = chunk.split_texts(_t(spark, d, "documents"), tuple(_KINDS))
+    longest = F.coalesce(F.array_max(F.transform("pieces", F.length)), F.lit(0))
+    return rows.select("doc_id", "separator", F.size("pieces").alias("n"), longest.alias("longest"), (F.array_join("pieces", "") == F.col("text")).alias("whole"))
 
 
 @query("breadcrumbs", f"WITH {LINES} SELECT s.path, CAST(number AS INTEGER) AS heading_index, array_to_string(list_filter([o.title, CASE WHEN level > 1 THEN trim(above) END, trim(head)], lambda x: x IS NOT NULL AND x <> ''), ' > ') AS crumbs FROM spans s JOIN org o ON o.path = s.path")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = _notes(spark, d).select("path", "title", F.explode("headings").alias("h"))
-    return rows.select("path", F.col("h.index").alias("heading_index"), text.breadcrumb(F.col("title"), F.col("h.ancestor_path"), F.col("h.text")).alias("crumbs"))
+    return chunk.segments_of(_notes(spark, d)).where("heading_index > 0").select("path", "heading_index", "crumbs")
 
 
 @query("chunk_notes")
@@ -544,8 +536,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     e = _t(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    out = e.groupBy("user_id", F.session_window("ts", "10 minutes").alias("w")).agg(F.count("*").alias("changes"))
-    return out.select("user_id", "changes", F.unix_micros("w.start").alias("start_us"))
+    out = bursts(e.withColumnRenamed("user_id", "path"), "10 minutes", by="path")
+    return out.select(F.col("path").alias("user_id"), "changes", F.unix_micros("start").alias("start_us"))
 
 
 # -- the editor's side -------------------------------------------------------
@@ -584,7 +576,17 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return frontend.overlapping_pairs(_ranges(spark, d))
 
 
-@query("keep_without_overlap")
+@query(
+    "keep_without_overlap",
+    f"""WITH RECURSIVE {RANGES},
+      o AS (SELECT *, row_number() OVER (PARTITION BY note ORDER BY confidence DESC, pos) AS rn FROM ranges),
+      g AS (
+        SELECT DISTINCT note, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(b INTEGER, e INTEGER)[]) AS taken, CAST(NULL AS BIGINT) AS id, false AS kept FROM o
+        UNION ALL
+        SELECT note, rn, CASE WHEN free THEN list_append(taken, {{'b': beg, 'e': "end"}}) ELSE taken END, id, free
+        FROM (SELECT o.note, o.rn, o.id, o.beg, o."end", g.taken, len(list_filter(g.taken, lambda x: o.beg < x.e AND x.b < o."end")) = 0 AS free FROM g JOIN o ON o.note = g.note AND o.rn = g.rn + 1))
+      SELECT note, id, kept FROM g WHERE rn > 0""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     return frontend.keep_without_overlap(_ranges(spark, d)).select("note", "id", "kept")
 
@@ -693,8 +695,3 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     own = F.col("tgt").cast("string")
     rich = picked.select("*", F.col("tgt_note").alias("tgt_title"), F.concat("tgt_note", F.lit(" > "), own).alias("tgt_crumbs"), F.concat(F.lit("text "), own).alias("tgt_text"), F.lit(None).cast("string").alias("neighbour"))
     return judge.prompts(judge.group_candidates(rich, ("src_note",)), ("src_note",))
-
-
-@query("retrieval_order", "SELECT vec_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS INTEGER) AS ordinal FROM embeddings")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "embeddings").select("vec_id", F.row_number().over(W.partitionBy("label").orderBy("vec_id")).alias("ordinal"))

@@ -21,10 +21,13 @@ def note_changes(events: DataFrame) -> DataFrame:
     return events.where(F.lower("path").endswith(".org"))
 
 
-def bursts(events: DataFrame, gap: str = "400 milliseconds", late: str = "1 minute") -> DataFrame:
-    """One row for each burst of changes: those closer than the gap count as one."""
-    corpus = (F.length("path") >= 0).alias("corpus")  # one group: sessions need a key
-    return events.withWatermark("ts", late).groupBy(corpus, F.session_window("ts", gap).alias("burst")).agg(F.count("*").alias("changes")).select("burst.start", "burst.end", "changes")
+def bursts(events: DataFrame, gap: str = "400 milliseconds", late: str = "1 minute", by: str | None = None) -> DataFrame:
+    """One row for each burst of changes: those closer than the gap count as one; ``by`` names a column whose
+    values have bursts of their own."""
+    group = F.col(by) if by else (F.length("path") >= 0).alias("corpus")  # one group: sessions need a key
+    timed = events.withWatermark("ts", late) if events.isStreaming else events
+    found = timed.groupBy(group, F.session_window("ts", gap).alias("burst")).agg(F.count("*").alias("changes"))
+    return found.select(*([by] if by else []), "burst.start", "burst.end", "changes")
 
 
 def latest_changes(events: DataFrame, late: str = "1 minute") -> DataFrame:
