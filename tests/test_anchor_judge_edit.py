@@ -111,14 +111,22 @@ def test_asking_isolates_failures_and_retries(spark):
                 raise V.Transient
             if asked == "loose" and strict:
                 return "not json"
-            return json.dumps({"asked": asked, "strict": strict})
+            item = {"candidate_id": 1, "type": "mention", "confidence": 2, "why": f"{asked} {strict}", "anchor": {"mode": "wrap", "expect": "x", "insert_text": None}, "target_is_note": False}
+            if asked == "broken":
+                item["confidence"] = 9 if strict else 1
+            if asked == "never":
+                item["extra"] = 1
+            return f"```json\n{json.dumps({'suggestions': [item]})}\n```"
 
         return judge
 
-    df = spark.createDataFrame([("ok",), ("bad",), ("busy",), ("loose",)], "question string").coalesce(1)
+    df = spark.createDataFrame([("ok",), ("bad",), ("busy",), ("loose",), ("broken",), ("never",)], "question string").coalesce(1)
     got = {r.question: r for r in J.ask(df, make, "note", attempts=2).collect()}
     assert got["bad"].answer is None and "ValueError" in got["bad"].error
-    assert json.loads(got["ok"].answer)["strict"] and not json.loads(got["loose"].answer)["strict"] and got["busy"].error is None
+    assert "ok True" in got["ok"].answer and "loose False" in got["loose"].answer and got["busy"].error is None
+    assert "broken False" in got["broken"].answer and got["never"].answer is None and "schema" in got["never"].error
+    kept = J.valid_verdicts(J.ask(df, make, "note", attempts=2).where("error is null"))
+    assert {r.question for r in kept.where("not invalid").collect()} == {"ok", "busy", "loose", "broken"}
 
 
 def test_helpers():

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from weftline.config import Settings
 from weftline.functions.vectors import hashing_embedder
 from weftline.observability import Tracer, judge_cost, logger, retrieval_documents
+from weftline.operators import judge as J
 from weftline.operators import refresh as R
 from weftline.plans.engine import Engine
 from weftline.plans.service import Service, main
@@ -139,10 +140,48 @@ def test_suggest_end_to_end(spark, place):
     names = [r["name"] for r in tracer.finished]
     assert {"retrieval", "judge", "suggest"} <= set(names) and len({r["trace"] for r in tracer.finished if r["name"] in ("retrieval", "judge", "suggest")}) == 1
     assert service.suggest("")["suggestions"] == []
-    docs = retrieval_documents(service.engine.candidates(QUERY).withColumns({"tgt_chunk_id": F.col("tgt"), "score": F.col("sim")}))
-    assert docs.count() > 0
-    verdicts = spark.createDataFrame([("A", 2, 0.5, None), ("B", 0, 0.1, "x")], "tgt_note string, n_returned int, elapsed_s double, error string")
-    assert {r.tgt_note: r.failed for r in judge_cost(verdicts).collect()} == {"A": 0, "B": 1}
+    found = service.engine.candidates(QUERY)
+    docs = retrieval_documents(found).collect()
+    assert docs and [r.score for r in docs] == sorted((r.score for r in docs), reverse=True) and all(r.id and r.text for r in docs)
+
+    def half():
+        def judge(system, prefix, asked, strict):
+            if "Candidate 1" in asked and "Part" not in asked:
+                raise ValueError("no")
+            return judge_all()(system, prefix, asked, strict)
+
+        return judge
+
+    asked = J.ask(J.prompts(J.group_candidates(found)), half, "note", attempts=1)
+    cost = judge_cost(asked).collect()
+    assert {(r.n_returned, r.failed) for r in cost} <= {(1, 0), (0, 1)} and all(r.elapsed_s >= 0 for r in cost) and cost
+
+
+def test_notes_without_ids_are_retrieved_apart(spark, place):
+    for name in ("a.org", "c.org", "sub/b.org"):
+        (place / name).unlink()
+    for name, topic in (("tides", "tide"), ("bread", "bread")):
+        (place / f"{name}.org").write_text(f"#+title: {name}\n{TOPICS[topic]}\n* More\nOn {TOPICS[topic]}\n", encoding="utf-8")
+    engine = Engine(spark, settings(place), make, judge_all)
+    engine.refresh()
+    rows = engine.candidates("#+title: own\nThe tide and the moon pull the sea.\n").collect()
+    by_path = {}
+    for r in rows:
+        by_path.setdefault(r.tgt_path, []).append(r)
+        assert ("tide" in r.tgt_text) == (r.tgt_path == "tides.org") and r.neighbour is None and r.tgt_uuid == ""
+    assert max(r.sim for r in by_path["tides.org"]) > max([r.sim for r in by_path.get("bread.org", [])], default=0)
+    assert len({r.tgt_note for r in rows}) == len(by_path)
+    got = json.loads(engine.suggest("#+title: own\nThe tide and the moon pull the sea.\n").toJSON().first())
+    assert {x["target"]["file_id"] for x in got["suggestions"]} == {""}
+
+
+def test_names_with_pattern_characters(spark, place):
+    for name in ("a[1].org", "b{x,y}*.org", "c?.org", "d\\e.org"):
+        (place / name).write_text(note(name, name, TOPICS["tide"]), encoding="utf-8")
+    store = Store(spark, settings(place).index_dir)
+    assert R.refresh(spark, settings(place), store, make)["indexed"] == 7
+    paths = spark.createDataFrame([("a[1].org",), ("c?.org",)], "path string")
+    assert {r.path for r in corpus.read_named(spark, str(place), paths).collect()} == {"a[1].org", "c?.org"}
 
 
 def test_command_line(spark, place, monkeypatch):

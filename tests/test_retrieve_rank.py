@@ -54,7 +54,7 @@ def test_selection_like_a_loop(spark, seed):
         assert select(spark, hits, 0.2, 2, 5) == procedural(hits, 0.2, 2, 5)
 
 
-def test_knn_is_exact(spark):
+def test_knn_is_exact(spark, monkeypatch):
     unit = [[float(i == j) for j in range(4)] for i in range(4)]
     targets = spark.createDataFrame([("a0", "A", unit[0]), ("a1", "A", unit[1]), ("b", "B", unit[2]), ("c", "C", unit[3]), ("z", "C", [0.0] * 4), ("n", "C", None)], "tgt string, tgt_note string, v array<double>")
     sources = spark.createDataFrame([(0, "Q", [3.0, 3.0, 0.0, 0.0]), (1, "A", [1.0, 0.0, 0.5, 0.0])], "src int, src_note string, v array<double>")
@@ -63,6 +63,9 @@ def test_knn_is_exact(spark):
         assert got == {(0, 1): ("a0", 0.7071), (0, 2): ("a1", 0.7071), (1, 1): ("b", 0.4472), (1, 2): ("c", 0.0)}
     same = {(r.src, r.pos): (r.tgt, round(r.sim, 4)) for r in retrieve.knn_expression(sources, targets.where("v is not null"), 2).collect()}
     assert same == got
+    monkeypatch.setattr(retrieve, "BLOCK_ROWS", 1)  # more sources than a block: none is lost
+    many = {(r.src, r.pos): (r.tgt, round(r.sim, 4)) for r in retrieve.knn_expression(sources, targets.where("v is not null"), 2).collect()}
+    assert many == got
     assert retrieve.knn(sources, targets, 0).count() == 0
     assert {r.tgt for r in retrieve.knn(sources, targets, 9, ["A"]).where("src = 0").collect()} == {"b", "c"}
 

@@ -13,6 +13,8 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.operators.judge import json_part
+
 NAME = "weftline"
 _span: ContextVar[tuple[str, str] | None] = ContextVar("span", default=None)
 
@@ -60,11 +62,10 @@ class Tracer:
 
 def retrieval_documents(candidates: DataFrame) -> DataFrame:
     """(id, text, score) of retrieved chunks, best first, for debugging."""
-    return candidates.select(F.col("tgt_chunk_id").alias("id"), F.col("tgt_text").alias("text"), F.col("score")).orderBy(F.desc("score"), "id")
+    return candidates.select(F.col("tgt").alias("id"), F.col("tgt_text").alias("text"), F.col("sim").alias("score")).orderBy(F.desc("score"), "id")
 
 
-def judge_cost(verdicts: DataFrame) -> DataFrame:
-    """Calls, returned verdicts, failures and seconds of each group."""
-    return verdicts.groupBy("tgt_note").agg(
-        F.max("n_returned").alias("n_returned"), F.max("elapsed_s").alias("elapsed_s"), F.max(F.col("error").isNotNull().cast("int")).alias("failed")
-    )
+def judge_cost(asked: DataFrame) -> DataFrame:
+    """What ``judge.ask`` returns -> returned verdicts, seconds and failure of each group; no answer returns none."""
+    returned = F.coalesce(F.json_array_length(F.get_json_object(json_part(F.col("answer")), "$.suggestions")), F.lit(0))
+    return asked.groupBy("tgt_note").agg(F.sum(returned).alias("n_returned"), F.sum("elapsed_s").alias("elapsed_s"), F.max(F.col("error").isNotNull().cast("int")).alias("failed"))

@@ -18,12 +18,14 @@ def rank_suggestions(rows: DataFrame, links: DataFrame | None, query_note: str |
 
     Those that point at the query note or repeat a link of it go; of several for one target the most
     confident stays, the first of equals; order is confidence, then where the target was first seen; the first
-    ``top_n`` are numbered s01, s02 ..."""
+    ``top_n`` are numbered s01, s02 ...  An empty id is no id: it names neither the query note nor another."""
     own = query_note if isinstance(query_note, Column) else F.lit(query_note)
-    kept = rows.where(~F.col("file_id").eqNullSafe(own))
+    kept = rows.where(~(F.col("file_id").eqNullSafe(own) & ~own.eqNullSafe(F.lit(""))))
     if links is not None:
         kept = not_linked_suggestions(kept, links, by)
-    target = W.partitionBy(*by, "file_id", "heading_text")
+    # notes without ids are different notes
+    note = F.when(F.col("file_id") == "", F.col("target.file")).otherwise(F.col("file_id")) if "target" in rows.columns else F.col("file_id")
+    target = W.partitionBy(*by, note, "heading_text")
     kept = kept.withColumn("_first", F.min("pos").over(target)).withColumn("_rn", F.row_number().over(target.orderBy(F.desc("confidence"), "pos")))
     one = kept.where("_rn = 1").drop("_rn")
     order = [F.desc("confidence"), F.col("_first")]

@@ -22,11 +22,14 @@ def retrieve_candidates(sources: DataFrame, snapshot_chunks: DataFrame, links: D
     """Query chunks (src, src_note, v) against the index: selected candidates with their targets' columns.
 
     The k nearest come first, without regard to links; what is already linked drops out after the ranking."""
-    side = snapshot_chunks.withColumnRenamed("embedding", "v")
-    hits = retrieve.knn(sources, side.select(F.col("chunk_id").alias("tgt"), F.col("note_uuid").alias("tgt_note"), "v"), settings.top_k)
+    # a note without an id is a note of its own, named by its path
+    own = F.when(F.col("note_uuid") != "", F.col("note_uuid")).otherwise(F.concat(F.lit("file:"), F.col("note_path")))
+    side = snapshot_chunks.withColumnRenamed("embedding", "v").withColumn("own", own)
+    hits = retrieve.knn(sources, side.select(F.col("chunk_id").alias("tgt"), F.col("own").alias("tgt_note"), "v"), settings.top_k)
     about = side.select(
         F.col("chunk_id").alias("tgt"),
-        F.col("note_uuid").alias("tgt_note"),
+        F.col("own").alias("tgt_note"),
+        F.col("note_uuid").alias("tgt_uuid"),
         F.col("note_path").alias("tgt_path"),
         F.col("note_title").alias("tgt_title"),
         F.col("heading_path").alias("tgt_crumbs"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterable
 from typing import TextIO
@@ -9,6 +10,8 @@ from typing import TextIO
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Characters that readers take for patterns in names, and their escape.
+_PATTERN, _ESCAPED = re.compile(r"([][{}*?\\])"), r"\\\1"
 #: Up to so many changed files are opened by name; beyond, the tree is scanned and joined.
 NAMED_FILES = 50_000
 
@@ -41,7 +44,7 @@ def read_named(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
         return spark.createDataFrame([], "path string, text string")
     if len(few) > NAMED_FILES:
         return scan_corpus(spark, root).join(paths.select("path"), "path", "left_semi")
-    names = [f"{root.rstrip('/')}/{r.path}" for r in few]
+    names = [f"{root.rstrip('/')}/{_PATTERN.sub(_ESCAPED, r.path)}" for r in few]
     return spark.read.format("binaryFile").load(names).select(_relative(F.col("path"), root).alias("path"), F.decode("content", "UTF-8").alias("text"))
 
 

@@ -38,7 +38,7 @@ class Snapshot:
 
     @property
     def chunks(self) -> DataFrame:
-        return self.read("chunks").withColumn("chunk_id", F.concat_ws(":", "note_uuid", "ordinal"))
+        return self.read("chunks").withColumn("chunk_id", F.concat_ws(":", "note_path", "ordinal"))
 
     @property
     def manifest(self) -> DataFrame:
