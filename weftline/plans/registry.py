@@ -369,15 +369,34 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return mid.select("doc_id", anchoring.context_before(F.col("text"), F.col("s")).alias("before"), anchoring.context_after(F.col("text"), F.col("e")).alias("after"))
 
 
+# A draft ends in a phrase of its own that the judge quotes: as it stands, through markup and white space, with two
+# slips, as the place of an insert, or not at all.
+DRAFT = [
+    "doc_id",
+    """text || chr(10) || CASE doc_id % 5
+      WHEN 1 THEN 'see [[id:x][Anchor ' || doc_id || ']]  of' || chr(10) || 'the draft here' WHEN 2 THEN 'see Anchr ' || doc_id || ' off the draft here'
+      ELSE 'see Anchor ' || doc_id || ' of the draft here' END AS buffer""",
+    "CASE doc_id % 5 WHEN 3 THEN 'insert' ELSE 'wrap' END AS mode",
+    "CASE doc_id % 5 WHEN 4 THEN '0123456789|0123456789' ELSE 'Anchor ' || doc_id || ' of the draft' END AS expect",
+    "CASE doc_id % 5 WHEN 3 THEN 'cf. {{own words}} there' END AS insert_text",
+]
+
+
 @query(
     "resolve_anchors",
-    f"""WITH {PHRASES} SELECT doc_id, instr(buffer, phrase) > 0 AS exact FROM phrases WHERE instr(buffer, phrase) > 0""",
+    f"""WITH drafts AS (SELECT {", ".join(DRAFT)} FROM documents WHERE text IS NOT NULL), spots AS (
+        SELECT doc_id, buffer, mode, doc_id % 5 AS kind, length(buffer) - length(' here') AS stop,
+          CASE doc_id % 5 WHEN 1 THEN instr(buffer, '[[id:x][Anchor ' || doc_id || ']]') + 7 WHEN 2 THEN length(buffer) - length('Anchr ' || doc_id || ' off the draft here') ELSE length(buffer) - length('Anchor ' || doc_id || ' of the draft here') END AS start
+        FROM drafts)
+      SELECT doc_id, CASE kind WHEN 4 THEN NULL WHEN 3 THEN CAST(stop AS INTEGER) ELSE CAST(start AS INTEGER) END AS char_start, CASE kind WHEN 4 THEN NULL ELSE CAST(stop AS INTEGER) END AS char_end,
+        CASE kind WHEN 4 THEN NULL WHEN 3 THEN '' ELSE substr(buffer, start + 1, stop - start) END AS expect,
+        CASE kind WHEN 4 THEN NULL WHEN 3 THEN 'cf. {{{{link}}}} there' ELSE '{{{{link}}}}' END AS template,
+        CASE kind WHEN 4 THEN NULL WHEN 3 THEN 'own words' ELSE substr(buffer, start + 1, stop - start) END AS link_description FROM spots""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = _phrases(spark, d).select("doc_id", "buffer", F.lit("wrap").alias("mode"), F.col("phrase").alias("expect"), F.lit(None).cast("string").alias("insert_text"))
-    found = anchoring.resolve_anchors(rows.where(F.instr(F.col("buffer"), F.col("expect")) > 0))
-    same = (F.substring("buffer", F.col("source_anchor.char_start") + 1, F.length("expect")) == F.col("expect")) & (F.col("source_anchor.expect") == F.col("expect"))
-    return found.select("doc_id", same.alias("exact"))
+    drafts = _t(spark, d, "documents").where("text is not null").selectExpr(*DRAFT)
+    found = anchoring.resolve_anchors(drafts.repartition(spark.sparkContext.defaultParallelism, "doc_id"))
+    return found.select("doc_id", *(F.col(f"source_anchor.{c}").alias(c) for c in ("char_start", "char_end", "expect", "template", "link_description")))
 
 
 def _shown_sql(c: str) -> str:
