@@ -56,3 +56,19 @@ def test_large_numbers_and_few_candidates():
 def test_empty_table(spark):
     v = integers(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert top_k(v, v).collect() == []
+
+
+def test_huge_components(spark):
+    """Components and scores beyond a long count as its ends; ties go to the smaller id as ever."""
+    rng = random.Random(2)
+    rows = [(i, [rng.choice([1e18, -1e18, 3e38, -3e38, 1e10, 0.5, 0.0]) for _ in range(4)]) for i in range(120)]
+    v = integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = sorted(map(tuple, top_k(v, v.where(F.col("vec_id") % 10 == 0), 5, 40, 8, 20, leaf=8).collect()))
+    low, high = -(1 << 63), (1 << 63) - 1
+    ok = {i: [max(low, min(high, math.floor(256 * x))) for x in e] for i, e in rows}
+    want = []
+    for q, a in ok.items():
+        if q % 10 == 0:
+            scores = sorted((-max(-high, min(high, sum(x * y for x, y in zip(a, b, strict=True)))), c) for c, b in ok.items() if c != q)
+            want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scores[:5])]
+    assert got == sorted(want)

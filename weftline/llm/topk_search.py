@@ -9,7 +9,8 @@ a first kth score from a fixed candidate sample of bounded size, so all shards s
 already good.  Shards return k rows a query; a ranked window keeps the best k.
 
 Ties go to the smaller id, so bounds equal to the kth score are still visited.  Arithmetic is exact:
-float products while they stay under 2**53, Python integers beyond.
+float products while they stay under 2**53, Python integers beyond; components and scores beyond a
+long's range count as its ends.
 
 Defined cases: null ids, null vectors and vectors with null or non-finite components take no part;
 rows with one id count once, as their smallest vector; vectors of other lengths than the query's are
@@ -62,13 +63,14 @@ class BallTree:
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer products a @ b.T; floats where they are exact."""
+    """Integer products a @ b.T, floats where they are exact; what no long can hold is the nearest that one can."""
     if not a.size or not b.size:
         return np.zeros((len(a), len(b)), np.int64)
-    top = int(np.abs(a).max()) * int(np.abs(b).max()) * a.shape[1]
+    top = max(int(a.max()), -int(a.min())) * max(int(b.max()), -int(b.min())) * a.shape[1]
     if top < 1 << 53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return (a.astype(object) @ b.astype(object).T).astype(np.int64)  # raises if a score is no long
+    most = (1 << 63) - 1
+    return np.clip(a.astype(object) @ b.astype(object).T, -most, most).astype(np.int64)
 
 
 def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
