@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 
@@ -122,3 +123,21 @@ def test_chunk_notes(spark):
     want = C.chunk(P.parse(long_note(), "n.org"), SMALL, C.word_counter)
     assert [r.asDict() for r in got] == want
     assert C.without_drawers(":A:\nx\n:END:\ny\n") == "y\n"
+
+
+def test_measure_counts_as_the_counter_does():
+    rng = random.Random(12)
+    for _ in range(60):
+        text = "".join(rng.choice(["ab", "c", " ", "  ", "\n", ".", "é-", "語"]) for _ in range(rng.randint(0, 40)))
+        size = C.Measure(text, C.word_counter)
+        for _ in range(30):
+            a, b = sorted(rng.randint(0, len(text)) for _ in range(2))
+            assert size.between(a, b) == C.word_counter(text[a:b])
+
+
+def test_unbroken_and_long_texts_take_linear_time():
+    small = Settings(chunk_target_tokens=60, chunk_max_tokens=90, chunk_min_tokens=12, chunk_overlap_tokens=16)
+    for text in ("word and. " * 60_000, "x" * 200_000, ".," * 50_000):
+        began = time.perf_counter()
+        chunks = C.chunk(P.parse(text, "n.org"), small, C.word_counter)
+        assert chunks[-1]["char_end"] == len(text) and time.perf_counter() - began < 20

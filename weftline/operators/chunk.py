@@ -41,6 +41,26 @@ def word_counter(text: str) -> int:
     return sum(1 for _ in _WORD.finditer(text))
 
 
+class Measure:
+    """Token counts of a text's substrings.  Words are found once and counted by their places; other counters read
+    the substring."""
+
+    def __init__(self, text: str, count: Counter | Measure):
+        self.text, self.count = text, count
+        if isinstance(count, Measure):
+            self.count, self.starts, self.ends = count.count, count.starts, count.ends
+        elif count is word_counter:
+            found = list(_WORD.finditer(text))
+            self.starts, self.ends = [m.start() for m in found], [m.end() for m in found]
+        else:
+            self.starts = self.ends = []
+
+    def between(self, start: int, end: int) -> int:
+        if self.count is not word_counter:
+            return self.count(self.text[start:end])
+        return max(0, bisect.bisect_left(self.starts, end) - bisect.bisect_right(self.ends, start)) if end > start else 0
+
+
 def counter(name: str) -> Counter:
     """'words', or the path of a rank file for byte-pair tokens."""
     if name == "words":
@@ -123,13 +143,14 @@ def _cuts(text: str, kind: str) -> list[int]:
 _TIERS = ("para", "line", "sentence", "word")
 
 
-def pieces(text: str, count: Counter, limit: int) -> list[tuple[int, int, str]]:
+def pieces(text: str, count: Counter | Measure, limit: int) -> list[tuple[int, int, str]]:
     """(start, end, what the left edge is) of pieces of at most ``limit`` tokens."""
+    size = Measure(text, count)
     out: list[tuple[int, int, str]] = []
     todo = [(0, len(text), "start", 0)]
     while todo:
         start, end, edge, tier = todo.pop()
-        if count(text[start:end]) <= limit:
+        if size.between(start, end) <= limit:
             out.append((start, end, edge))
             continue
         while tier < len(_TIERS):
@@ -138,7 +159,7 @@ def pieces(text: str, count: Counter, limit: int) -> list[tuple[int, int, str]]:
                 break
             tier += 1
         if tier == len(_TIERS):
-            out += _hard(text, start, end, edge, count, limit)
+            out += _hard(start, end, edge, size, limit)
             continue
         kind, at, own = _TIERS[tier], start, []
         for e in ends:
@@ -148,14 +169,17 @@ def pieces(text: str, count: Counter, limit: int) -> list[tuple[int, int, str]]:
     return out
 
 
-def _hard(text: str, start: int, end: int, edge: str, count: Counter, limit: int) -> list[tuple[int, int, str]]:
-    """Longest runs of code points within the limit, found by bisection; one code point at least."""
+def _hard(start: int, end: int, edge: str, size: Measure, limit: int) -> list[tuple[int, int, str]]:
+    """Longest runs of code points within the limit, one code point at least: doubled until too long, then bisected."""
     out = []
     while start < end:
-        low, high = start + 1, end
+        low, reach = start + 1, 2
+        while start + reach < end and size.between(start, start + reach) <= limit:
+            low, reach = start + reach, 2 * reach
+        high = min(end, start + reach)
         while low < high:
             middle = (low + high + 1) // 2
-            if count(text[start:middle]) <= limit:
+            if size.between(start, middle) <= limit:
                 low = middle
             else:
                 high = middle - 1
@@ -164,41 +188,44 @@ def _hard(text: str, start: int, end: int, edge: str, count: Counter, limit: int
     return out
 
 
-def pack(parts: list[tuple[int, int, str]], text: str, count: Counter, target: int, limit: int) -> list[tuple[int, int, str]]:
+def pack(parts: list[tuple[int, int, str]], text: str, count: Counter | Measure, target: int, limit: int) -> list[tuple[int, int, str]]:
     """Neighbours joined up to the target, or up to the limit while still under the target."""
+    size = Measure(text, count)
     out: list[tuple[int, int, str]] = []
     for start, end, edge in parts:
         if out:
             first, last, lead = out[-1]
-            joined = count(text[first:end])
-            if joined <= target or (joined <= limit and count(text[first:last]) < target):
+            joined = size.between(first, end)
+            if joined <= target or (joined <= limit and size.between(first, last) < target):
                 out[-1] = (first, end, lead)
                 continue
         out.append((start, end, edge))
     return out
 
 
-def merge_small(chunks: list[tuple[int, int, str]], text: str, count: Counter, least: int) -> list[tuple[int, int, str]]:
+def merge_small(chunks: list[tuple[int, int, str]], text: str, count: Counter | Measure, least: int) -> list[tuple[int, int, str]]:
     """A small chunk joins the one before it; a small first one joins the one after it."""
+    size = Measure(text, count)
     out: list[tuple[int, int, str]] = []
     for start, end, edge in chunks:
-        if out and count(text[start:end]) < least:
+        if out and size.between(start, end) < least:
             out[-1] = (out[-1][0], end, out[-1][2])
         else:
             out.append((start, end, edge))
-    if len(out) > 1 and count(text[out[0][0] : out[0][1]]) < least:
+    if len(out) > 1 and size.between(out[0][0], out[0][1]) < least:
         out[:2] = [(out[0][0], out[1][1], out[0][2])]
     return out
 
 
-def _overlap(text: str, start: int, count: Counter, tokens: int) -> int:
-    """How far back ``tokens`` tokens reach, by bisection over the text's start."""
-    if count(text[:start]) <= tokens:
-        return 0
-    low, high = 0, start
+def _overlap(start: int, size: Measure, tokens: int) -> int:
+    """How far back ``tokens`` tokens reach: doubled until too far, then bisected."""
+    high, reach = start, 8
+    while reach < start and size.between(start - reach, start) <= tokens:
+        high, reach = start - reach, 2 * reach
+    low = max(0, start - reach)
     while low < high:
         middle = (low + high) // 2
-        if count(text[middle:start]) <= tokens:
+        if size.between(middle, start) <= tokens:
             high = middle
         else:
             low = middle + 1
@@ -228,13 +255,14 @@ def chunk(note: dict, settings: Settings, count: Counter) -> list[dict]:
         clean = Cleaned(text[start:end], start)
         if not clean.text.strip():
             continue
-        spans = pack(pieces(clean.text, count, settings.chunk_max_tokens), clean.text, count, settings.chunk_target_tokens, settings.chunk_max_tokens)
-        spans = merge_small(spans, clean.text, count, settings.chunk_min_tokens)
+        size = Measure(clean.text, count)
+        spans = pack(pieces(clean.text, size, settings.chunk_max_tokens), clean.text, size, settings.chunk_target_tokens, settings.chunk_max_tokens)
+        spans = merge_small(spans, clean.text, size, settings.chunk_min_tokens)
         path = crumbs(note["title"], heading)
         for number, (a, b, edge) in enumerate(spans):
             line = clean.text.rfind("\n", 0, a) + 1
             if number and settings.chunk_overlap_tokens > 0 and edge in ("sentence", "word") and not _STRUCTURED.match(clean.text, line):
-                a = _overlap(clean.text, a, count, settings.chunk_overlap_tokens)
+                a = _overlap(a, size, settings.chunk_overlap_tokens)
             body, own = clean.text[a:b], heading or {}
             out.append(
                 {
