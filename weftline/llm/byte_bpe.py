@@ -37,6 +37,7 @@ from weftline.llm import common
 from weftline.llm.common import Block
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+_POSITIONS = 1 << 16  # pieces that are put together at once
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 _OUT_SQL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string"
 _cache: dict = {}
@@ -107,6 +108,7 @@ def _pieces(block: Block, findall, by_space: bool) -> tuple[np.ndarray, np.ndarr
     flat = np.concatenate(codes) if codes else np.empty(0, np.int64)
     used, flat = np.unique(flat, return_inverse=True)
     outer, within = list(whole), list(inner)
+    del inner, whole, codes, texts
     parts = [findall(outer[~c]) if c < 0 else findall(" " + within[c]) for c in used.tolist()]
     return flat, np.r_[0, np.cumsum(sizes)], parts
 
@@ -186,28 +188,38 @@ def _finish(vocabulary, with_ids: bool, with_text: bool):
         ends = np.r_[0, np.cumsum(word_len[words])]
         last = np.cumsum(lengths)
         piece_at, piece_end = ends[last - lengths], ends[last]
-        codes = codes.astype(np.int64)
-        piece_len = (piece_end - piece_at)[codes]
-        tokens = piece_ids[ragged(piece_at[codes], piece_len)].astype(np.int64)
-        edge = np.r_[0, np.cumsum(piece_len)][bounds]
-        size = np.diff(vocab.starts)[tokens]
-        data = vocab.bytes[ragged(vocab.starts[tokens], size)].tobytes()
-        cut = np.r_[0, np.cumsum(size)][edge].tolist()
-        decimal, edges = vocab.decimal, edge.tolist()
-        id_sha, text_sha, texts = [], [], []
-        for k in range(len(ids)):
-            id_sha.append(hashlib.sha256(" ".join([decimal[i] for i in tokens[edges[k] : edges[k + 1]].tolist()]).encode()).hexdigest())
-            text_sha.append(hashlib.sha256(data[cut[k] : cut[k + 1]]).hexdigest())
-            if with_text:
-                texts.append(data[cut[k] : cut[k + 1]].decode("utf-8", "replace"))
+        own_len, token_len = piece_end - piece_at, np.diff(vocab.starts)
+        counts, listed, id_sha, text_sha, texts = [], [], [], [], []
+        # some documents at a time: the arrays of places are many times their text
+        at = 0
+        while at < len(ids):
+            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + _POSITIONS, side="right")) - 1)
+            code = codes[bounds[at] : bounds[to]].astype(np.int64)
+            piece_len = own_len[code]
+            tokens = piece_ids[ragged(piece_at[code], piece_len)].astype(np.int64)
+            edge = np.r_[0, np.cumsum(piece_len)][bounds[at : to + 1] - bounds[at]]
+            size = token_len[tokens]
+            data = vocab.bytes[ragged(vocab.starts[tokens], size)].tobytes()
+            cut, edges = np.r_[0, np.cumsum(size)][edge].tolist(), edge.tolist()
+            for k in range(to - at):
+                own = data[cut[k] : cut[k + 1]]
+                id_sha.append(hashlib.sha256(" ".join([vocab.decimal[i] for i in tokens[edges[k] : edges[k + 1]].tolist()]).encode()).hexdigest())
+                text_sha.append(hashlib.sha256(own).hexdigest())
+                if with_text:
+                    texts.append(own.decode("utf-8", "replace"))
+            counts.append(np.diff(edge))
+            if with_ids:
+                listed.append(tokens.astype(np.int32))
+            at = to
+        n_tokens = np.concatenate([np.empty(0, np.int64), *counts])
         nothing = pa.nulls(len(ids))
         return pa.Table.from_arrays(
             [
                 pa.array([i if n else None for i, n in zip(ids.tolist(), known.tolist(), strict=True)], pa.int64()),
-                pa.array(np.diff(edge), pa.int64()),
+                pa.array(n_tokens, pa.int64()),
                 pa.array(id_sha, pa.string()),
                 pa.array(text_sha, pa.string()),
-                pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(tokens, pa.int32())) if with_ids else nothing.cast(_OUT.field("ids").type),
+                pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n_tokens)], pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *listed]))) if with_ids else nothing.cast(_OUT.field("ids").type),
                 pa.array(texts, pa.string()) if with_text else nothing.cast(pa.string()),
             ],
             schema=_OUT,
