@@ -61,8 +61,8 @@ def keyed_texts(docs: DataFrame, id_col: str, text_col: str, rest: list[str] | N
     return docs.select(*own)
 
 
-def zip_bytes(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+def zip_bytes(data: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def unzip_bytes(data: bytes) -> bytes:
@@ -141,7 +141,7 @@ class Block:
             with pa.ipc.new_stream(sink, batch.schema) as out:
                 out.write_batch(batch)
             rest = zip_bytes(sink.getvalue().to_pybytes())
-        return struct.pack("<qq", len(head), len(rest)) + head + rest + zip_bytes(self.data)
+        return struct.pack("<qq", len(head), len(rest)) + head + rest + zip_bytes(self.data, 2)
 
     @classmethod
     def unpack(cls, payload: bytes) -> Block:
