@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import base64
+import datetime
 import os
 from collections import Counter
 
@@ -68,3 +69,30 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_odd_rows_and_columns(spark, tmp_path):
+    """Nulls everywhere, repeated rows, and columns whose names the stages use themselves."""
+    at = datetime.datetime(2024, 1, 2, 3, 4, 5, 678901)
+    line = "one two three four five six seven eight nine"
+    rows = [(i, f"word{i} other{i * 7} words{i * 13} here{i * 3}\n{line}", "en", "s" if i % 2 else None, None, 0.5, {"k": i}, at, "x") for i in range(40)]
+    rows += [(None, None, None, None, None, None, None, None, None), (3, rows[3][1], "en", "s", 5, 0.5, {}, None, "y"), rows[4], rows[4], (99, "", None, "t", 0, None, None, at, None), (None, line, "de", "t", 44, 1.0, None, at, "z")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, rest map<string,int>, line timestamp, shard string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i % 9 == 0)) for i in range(30)] + [(None, None, None), (2, None, 0), (2, 1, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    columns, sizes = docs.dtypes, []
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"{number}"))
+        docs = spark.read.parquet(str(tmp_path / f"{number}"))
+        sizes.append(docs.count())
+        if number < 4:
+            assert docs.dtypes == columns
+            assert {r.line for r in docs.select("line").collect()} <= {at, None}
+    assert sizes[0] == sizes[1] >= sizes[2] > 30 and sizes[3] == sizes[4]
+    lines = [x for r in spark.read.parquet(str(tmp_path / "1")).collect() for x in (r.text or "").split("\n")]
+    assert lines.count(line) == 1
+    kept = Counter((r.doc_id, r.text) for r in spark.read.parquet(str(tmp_path / "2")).collect())
+    assert max(kept.values()) == 1
+    for r in docs.collect():
+        assert r.n_tokens == len(r.ids)
