@@ -5,15 +5,15 @@ A window is ``window`` consecutive words of one document.  Every word is removed
 window whose word sequence also starts in a document with a smaller id.  Windows are judged on the
 input, so removals do not influence each other.
 
-How it runs: each block hashes every window (a rolling polynomial hash over word hashes, 64 bits),
-keeps one entry for each distinct window with its smallest document, and deals the entries out by
+How it runs: each block hashes every window (a rolling polynomial hash over word hashes, 64 bits, and
+24 more of a second one), keeps one entry for each distinct window with its smallest document, and deals the entries out by
 hash range.  A bucket looks for windows that several blocks hold and tells each block but the
 earliest holder; the block marks those windows and the ones repeated inside itself, and merges
-them into maximal intervals.  What moves is one entry per distinct window and block: about 7 bytes
+them into maximal intervals.  What moves is one entry per distinct window and block: about 10 bytes
 for each window of the corpus.
 
-Different windows get equal hashes with a chance of n**2 / 2**65 for n distinct windows
-(5e-4 over 10**8 windows).
+Different windows of several blocks get equal hashes with a chance of n**2 / 2**89 for n distinct windows
+(less than one in a corpus of 100 TB), those of one block of 4 MB with n**2 / 2**65.
 
 Defined cases: null text counts as empty; a row with null id keeps everything and causes no
 removal; rows with equal ids do not remove from each other; documents shorter than a window are
@@ -32,18 +32,19 @@ from pyspark.sql import DataFrame, SparkSession
 from weftline.llm import common, hashing
 from weftline.llm.common import Block
 
-WINDOW = 50
+WINDOW, CHECK_BITS = 50, 24
+_CHECK_BASE = 0xA0761D6478BD642F
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("n_spans", pa.int64()), ("kept_text", pa.string())])
 _OUT_SQL = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_spans long, kept_text string"
 
 
 def _windows(block: Block, width: int) -> tuple[np.ndarray, ...]:
-    """Words, window starts, window hashes and the document ordinal of each window."""
+    """Words, window starts, window hashes, the document ordinal of each window, and the words' hashes."""
     starts, ends, first = hashing.words(block.data, block.offsets)
     values = hashing.word_hashes(block.data, starts, ends)
     at, hashes = hashing.windows(values, first, width)
     owner = np.searchsorted(first, at, side="right") - 1
-    return starts, ends, first, at, hashes, owner
+    return starts, ends, first, at, hashes, owner, values
 
 
 def first_holders(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,19 +57,28 @@ def first_holders(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np
     return ranked[new], owner[order[new]], which
 
 
+def checks(values: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
+    """Further bits of each window, by a hash of its own."""
+    _, hashes = hashing.windows(values, first, width, _CHECK_BASE)
+    return (hashes >> np.uint64(64 - CHECK_BITS)).astype(np.uint32)
+
+
 def _emit(width: int, buckets: int):
     def emit(key: int, block: Block) -> Iterator[list[tuple[int, int, int, bytes]]]:
         yield [(0, key, 0, block.pack())]
-        *_, hashes, owner = _windows(block, width)
+        _, _, first, _, hashes, owner, values = _windows(block, width)
         valid = block.known[owner]
-        distinct, holder, _ = first_holders(hashes[valid], owner[valid])
-        del hashes, owner
+        hashes, owner = hashes[valid], owner[valid]
+        distinct, holder, which = first_holders(hashes, owner)
+        check = np.empty(len(distinct), np.uint32)
+        check[which] = checks(values, first, width)[valid]
+        del hashes, owner, which, values
         where, bounds = common.split_by_bucket(distinct, buckets)
         rows = []
         for i, bucket in enumerate(where.tolist()):
             part = slice(bounds[i], bounds[i + 1])
             held, local = np.unique(holder[part], return_inverse=True)
-            rows.append((1, bucket, key, common.pack_sorted(distinct[part], local.astype(np.uint16), block.ids[held])))
+            rows.append((1, bucket, key, common.pack_sorted(distinct[part], local.astype(np.uint16), block.ids[held], check[part])))
         if rows:
             yield rows
 
@@ -79,9 +89,10 @@ def _merge(bucket: int, parts: list[tuple[int, bytes]]) -> list[tuple[int, int,
     """Tell each block which of its windows start in a smaller document elsewhere."""
     if len(parts) < 2:
         return []
-    hashes, docs, src = [], [], []
+    hashes, docs, src, more = [], [], [], []
     for key, payload in parts:
-        h, local, ids = common.unpack_sorted(payload)
+        h, local, ids, check = common.unpack_sorted(payload)
+        more.append(check)
         hashes.append(h)
         docs.append(ids[local])
         src.append(np.full(len(h), key, np.int64))
@@ -92,8 +103,12 @@ def _merge(bucket: int, parts: list[tuple[int, bytes]]) -> list[tuple[int, int,
     shared = order[np.r_[False, same] | np.r_[same, False]]
     if not len(shared):
         return []
-    h, doc, block = h[shared], doc[shared], block[shared]
-    start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    h, doc, block, check = h[shared], doc[shared], block[shared], np.concatenate(more)[shared]
+    apart = (h[1:] == h[:-1]) & (check[1:] != check[:-1])
+    if apart.any():  # one hash, several windows
+        order = np.lexsort((check, h))
+        h, doc, block, check = h[order], doc[order], block[order], check[order]
+    start = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (check[1:] != check[:-1])])
     least = np.repeat(np.minimum.reduceat(doc, start), np.diff(np.r_[start, len(h)]))
     late = doc > least
     h, block = h[late], block[late]
@@ -105,7 +120,7 @@ def _merge(bucket: int, parts: list[tuple[int, bytes]]) -> list[tuple[int, int,
 def _finish(width: int, with_text: bool):
     def finish(key: int, payload: bytes, answers: list[tuple[int, bytes]]) -> pa.Table:
         block = Block.unpack(payload)
-        starts, ends, first, at, hashes, owner = _windows(block, width)
+        starts, ends, first, at, hashes, owner, _ = _windows(block, width)
         valid = block.known[owner]
         at, hashes, owner = at[valid], hashes[valid], owner[valid]
         distinct, holder, which = first_holders(hashes, owner)
