@@ -19,7 +19,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not (context.master or "").startswith("local["):
+        if not named and context.master != "local" and not (context.master or "").startswith("local["):
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "weftline-checkpoints"))
 
