@@ -277,3 +277,38 @@ def test_large_alphabets_are_compared_in_parts(monkeypatch):
     for most in (1 << 22, 5000, 1):
         monkeypatch.setattr(edit_distance, "_TABLE", most)
         assert edit_distance.within_many(a, b, limits).tolist() == want
+
+
+def turned(rng, n):
+    """Lines of n words with their halves turned round, and near copies of the first: nearly all minima are those of both,
+    but only edit similarity tells that the copies are near one of the two."""
+    words = ["".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(4, 8))) for _ in range(n)]
+    line, other = " ".join(words), " ".join(words[n // 2 :] + words[: n // 2] + ["z"])
+    return line, other, line + " zz" * 3
+
+
+@pytest.mark.parametrize("most", [1 << 14, 3])
+def test_a_link_that_fails_hides_no_other(spark, most):
+    rng = random.Random(12)
+    rows = []
+    for i in range(30):
+        line, other, near = turned(rng, 30)
+        assert similar(line, near, 0.8) and not similar(line, other, 0.8) and not similar(near, other, 0.8)
+        rows += [(3 * i, line), (3 * i + 1, other), (3 * i + 2, near)]
+    got = {r.doc_id: r.n_removed for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), most=most).collect()}
+    assert got == {i: int(i % 3 == 2) for i in range(90)}
+
+
+def test_links_of_a_group_grow_with_its_size():
+    rng = random.Random(5)
+    base = [rng.choice("abcdefgh") + str(rng.randrange(99)) for _ in range(40)]
+    lines = set()
+    while len(lines) < 600:
+        words = list(base)
+        for _ in range(rng.randint(1, 6)):
+            words[rng.randrange(40)] = f"q{rng.randrange(500)}"
+        lines.add(" ".join(words).encode())
+    lines = sorted(lines)
+    minima = line_dedup.sketches(lines, 8)
+    a, b, _ = line_dedup.near_links(np.arange(600), minima[:, 0], minima.astype(np.uint8), np.array([len(x) for x in lines]), 0, 0.8, 8)
+    assert 0 < len(a) < 600

@@ -306,16 +306,27 @@ class Texts:
             at = end
         return out
 
-    def forest(self, a: np.ndarray, b: np.ndarray, likely: np.ndarray, similarity: float) -> np.ndarray:
+    def forest(
+        self,
+        a: np.ndarray,
+        b: np.ndarray,
+        likely: np.ndarray,
+        similarity: float,
+        root: np.ndarray | None = None,
+        from_: np.ndarray | None = None,
+        to: np.ndarray | None = None,
+    ) -> np.ndarray:
         """Numbers of links that reach the similarity and connect all that such links connect.
 
         The likeliest links of each component are compared first, then more and more; a link inside a
-        component has nothing to add and is not compared."""
-        root = np.arange(len(self.texts))
+        component has nothing to add and is not compared.  Links may connect other things than texts: ``from_`` and ``to``,
+        of which ``root`` tells the components."""
+        root = np.arange(len(self.texts)) if root is None else root.copy()
+        from_, to = a if from_ is None else from_, b if to is None else to
         left, found, many = np.lexsort((b, a, -likely)), [], 1
         while len(left):
             picked = np.zeros(len(left), bool)
-            for end in (root[a[left]], root[b[left]]):
+            for end in (root[from_[left]], root[to[left]]):
                 order = np.argsort(end, kind="stable")
                 ranked = end[order]
                 first = np.r_[True, ranked[1:] != ranked[:-1]]
@@ -323,7 +334,7 @@ class Texts:
                 picked[order[rank < many]] = True
             tried = left[picked]
             good = tried[self.similar(a[tried], b[tried], similarity)]
-            for k, x, y in zip(good.tolist(), a[good].tolist(), b[good].tolist(), strict=True):
+            for k, x, y in zip(good.tolist(), from_[good].tolist(), to[good].tolist(), strict=True):
                 x, y = self._find(root, x), self._find(root, y)
                 if x != y:
                     root[max(x, y)] = min(x, y)
@@ -331,7 +342,7 @@ class Texts:
             while (root[root] != root).any():
                 root = root[root]
             left = left[~picked]
-            left = left[root[a[left]] != root[b[left]]]
+            left = left[root[from_[left]] != root[to[left]]]
             many *= 4
         return np.array(found, np.int64)
 

@@ -14,11 +14,15 @@ border have both (``CLASSES``).  A line is dealt by each of its first ``DEALT``
 share one and two more are candidates if enough minima are equal.  The search is not exact (the README has the measured recall); what it finds is verified.
 
 How it runs: blocks of documents (see ``common``) reduce their lines to distinct ones; only hashes,
-sketches and places are sent, in one exchange.  Tasks that hold the lines of some minima return candidate links.  Links
-that share a least neighbour meet in one bucket, which gets the text of every line it compares once.
-Large sets of links are dealt over several buckets, so nothing depends on the size of a group.  A line that a
+sketches and places are sent, in one exchange.  Tasks that hold the lines of some minima return, for each group that
+candidate links connect, the strongest links that do.  Links that share a least neighbour meet in one bucket,
+which gets the text of every line it compares once.  Large sets of links are dealt over several buckets.  A line that a
 third of all documents hold is one entry a block.
 
+A group that edit similarity takes apart is then searched whole: all its candidate links between lines that are not
+connected yet are compared, so no candidate is lost for another that fails.  That step takes the square of such a group's
+size in sketches, dealt in parts of it.
+
 Equal lines are told by their 64-bit hash.
 
 Defined cases: null text is one empty line; rows with null id come after all others; rows with equal
@@ -37,11 +41,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from weftline.llm import common
+from weftline.llm import common, hashing
+from weftline.llm.byte_bpe import ragged
 from weftline.llm.common import Block
 from weftline.llm.components import connected, ensure_checkpoint_dir
 from weftline.llm.edit_distance import Texts
@@ -53,9 +59,10 @@ HASHES, DEALT, LAGS, STRONG = 32, 6, 24, 24
 #: of short lines.
 CLASSES = ((5, 12, 0, 80), (8, 8, 64, 1 << 30))
 GRAM = CLASSES[0][0]
-LINKS = 1 << 14  # links of one least neighbour that stay in one bucket
+LINKS = 1 << 14  # links of one least neighbour, or lines of one group, that stay in one bucket
 _CHUNK = 1 << 16  # bytes whose grams are hashed at once
 _HELD = 1 << 16  # lines that a task collects before it deals them to the tables
+_PAIRS = 1 << 20  # pairs of a group whose sketches are compared at once
 _FACTORS = np.random.default_rng(3).integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _MARKS = string.punctuation + "\t\r\v\f"
 _UPPER, _LOWER = string.ascii_uppercase + _MARKS, string.ascii_lowercase + " " * len(_MARKS)
@@ -63,7 +70,7 @@ _PLAIN = bytes.maketrans(_UPPER.encode(), _LOWER.encode())
 _BLOCK, _TABLE, _PLACED, _AGAIN = 0, 1, 2, 3
 #: Where a line stands first in a block.
 _PLACE = np.dtype([("line", "<i8"), ("late", "u1"), ("doc_id", "<i8"), ("block", "<i8"), ("ordinal", "<i4"), ("number", "<i4")])
-_FOUND = "a long, b long, agree int, line long, late boolean, doc_id long, block long, ordinal int, number int, payload binary"
+_FOUND = "a long, b long, agree int, line long, late boolean, doc_id long, block long, ordinal int, number int, payload binary, team long"
 
 
 def normal_lines(text: bytes) -> list[bytes]:
@@ -190,17 +197,17 @@ def _union(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def near_links(lines: np.ndarray, value: np.ndarray, minima: np.ndarray, chars: np.ndarray, table: int, similarity: float, agreeing: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate links (a, b, minima that agree) among lines that share a value and two more minima.
+    """Candidate links are those (a, b, minima that agree) between lines that share a value and two more minima, as far as
+    enough minima agree.  Returned are, of each group of lines that they connect, the strongest that connect it.
 
-    A line meets the ``LAGS`` lines before it in order of length.  One that finds no link there, or whose
-    run is longer, is compared with the whole run unless a link back connects it.  Lines that links of
-    ``STRONG`` equal minima connect already are not linked once more, so a group of copies costs a few links a line."""
+    A line meets the ``LAGS`` lines before it in order of length, but for those that links of ``STRONG`` equal
+    minima connect with it already; what is left apart of a longer run is compared with all of the run."""
     order = np.argsort(chars, kind="stable")  # so that inside a run lengths ascend
     lines, value, minima, chars = lines[order], value[order], minima[order], chars[order]
     column = np.ascontiguousarray(minima.T)
     bits = np.uint64(max(1, len(lines)).bit_length())
     low = (np.uint64(1) << bits) - np.uint64(1)
-    root = np.arange(len(lines))
+    root, group, told = np.arange(len(lines)), np.arange(len(lines)), 0
     base, rank = value.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.arange(len(lines), dtype=np.uint64)
     left, right, agreed = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint8)]
     for j in range(0, HASHES, 2):
@@ -218,7 +225,7 @@ def near_links(lines: np.ndarray, value: np.ndarray, minima: np.ndarray, chars:
         rows, run = (key[inside] & low).astype(np.int64), run[inside]
         new = np.r_[True, run[1:] != run[:-1]] if len(run) else np.empty(0, bool)
         head = np.maximum.accumulate(np.where(new, np.arange(len(run)), 0))
-        linked, open_at = new.copy(), np.flatnonzero(~new)
+        open_at, began = np.flatnonzero(~new), len(left)
         for back in range(1, LAGS + 1):
             open_at = open_at[head[open_at] <= open_at - back]
             x, y = chars[rows[open_at]], chars[rows[open_at - back]]
@@ -227,46 +234,72 @@ def near_links(lines: np.ndarray, value: np.ndarray, minima: np.ndarray, chars:
                 break
             at, before = rows[open_at], rows[open_at - back]
             apart = root[at] != root[before]
-            linked[open_at[~apart]] = True
             at, before = at[apart], before[apart]
             count = _agree(minima, at, before)
             close = count >= agreeing
-            linked[open_at[apart][close]] = True
             left.append(before[close])
             right.append(at[close])
             agreed.append(count[close])
             if back & (back - 1) == 0:  # lag 1, 2, 4, ...; the rest at the end of the turn
                 root = _union(root, left[-1][agreed[-1] >= STRONG], right[-1][agreed[-1] >= STRONG])
-        # long runs with lines that have no link back yet
-        for start in np.intersect1d(head[open_at], head[~linked]).tolist():
-            open_ = rows[start : int(np.searchsorted(head, start, side="right"))]
-            while len(open_) > 1:
-                queue, open_ = [open_[0]], open_[1:]
-                while queue and len(open_):
-                    at = queue.pop()
-                    x, y = chars[open_], chars[at]
-                    near = np.abs(x - y) <= (np.maximum(x, y) * (1 - similarity) + 1e-9).astype(np.int64)
-                    count = _agree(minima, open_[near], np.full(int(near.sum()), at))
-                    near[near] = count >= agreeing
-                    left.append(np.full(int(near.sum()), at))
-                    right.append(open_[near])
-                    agreed.append(count[count >= agreeing])
-                    queue += open_[near].tolist()
-                    open_ = open_[~near]
-        strong = np.concatenate(agreed) >= STRONG
-        root = _union(root, np.concatenate(left)[strong], np.concatenate(right)[strong])
+        open_at = open_at[head[open_at] < open_at - LAGS]
+        if len(open_at):
+            group, told = _union(group, np.concatenate(left[told:]), np.concatenate(right[told:])), len(left)
+        for start in np.unique(head[open_at]).tolist():
+            own = rows[start : int(np.searchsorted(head, start, side="right"))]
+            names, which, size = np.unique(group[own], return_inverse=True, return_counts=True)
+            for k in np.argsort(size, kind="stable")[:-1].tolist():  # each but the largest with all others that it was not compared with
+                mine, own, which = own[which == k], own[which != k], which[which != k]
+                for at in mine.tolist():
+                    x, y = chars[own], chars[at]
+                    near = own[np.abs(x - y) <= (np.maximum(x, y) * (1 - similarity) + 1e-9).astype(np.int64)]
+                    count = _agree(minima, near, np.full(len(near), at))
+                    close = count >= agreeing
+                    left.append(np.full(int(close.sum()), at))
+                    right.append(near[close])
+                    agreed.append(count[close])
+        if len(left) > began:
+            strong = np.concatenate(agreed[began:]) >= STRONG
+            root = _union(root, np.concatenate(left[began:])[strong], np.concatenate(right[began:])[strong])
     a, b, agree = np.concatenate(left), np.concatenate(right), np.concatenate(agreed)
-    _, once = np.unique(np.minimum(a, b) * len(lines) + np.maximum(a, b), return_index=True)
-    return lines[a[once]], lines[b[once]], agree[once]
+    kept = _strongest(len(lines), a, b, agree)
+    return lines[a[kept]], lines[b[kept]], agree[kept]
+
+
+def _strongest(n: int, a: np.ndarray, b: np.ndarray, agree: np.ndarray) -> np.ndarray:
+    """Numbers of links that connect what all links between n places connect, the strongest that do."""
+    order = np.argsort(np.uint8(HASHES) - agree, kind="stable")
+    a, b = a[order], b[order]
+    root, left, kept = np.arange(n), np.arange(len(a)), [np.empty(0, np.int64)]
+    while True:
+        x, y = root[a[left]], root[b[left]]
+        left, x, y = left[x != y], x[x != y], y[x != y]
+        if not len(left):
+            return order[np.concatenate(kept)]
+        best = np.full(n, len(a))  # each group's strongest link
+        np.minimum.at(best, x, left)
+        np.minimum.at(best, y, left)
+        kept.append(np.unique(best[best < len(a)]))
+        root = _union(root, a[kept[-1]], b[kept[-1]])
+
+
+def _groups(a: np.ndarray, b: np.ndarray) -> pa.Array:
+    """A name, which only the lines decide, of the group of each link; null for groups of two."""
+    lines, at = np.unique(np.r_[a, b], return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = _union(np.arange(len(lines)), x, y)
+    name = np.zeros(len(lines), np.uint64)
+    np.add.at(name, root, hashing.mix64(lines.view(np.uint64)))
+    return pa.array(name[root[x]].view(np.int64), mask=np.bincount(root, minlength=len(lines))[root[x]] < 3)
 
 
 def _second_pass(per_table: int, similarity: float):
     """A table's bucket -> candidate links; a bucket of lines -> the first place of each, and without a line's hash all
     other places; a block -> itself."""
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
     out = pa.schema([(c.split()[0], k) for c, k in zip(_FOUND.split(", "), kinds, strict=True)])
 
-    def links(table: int, payloads: list[bytes]) -> list[np.ndarray]:
+    def links(table: int, payloads: list[bytes]) -> list[np.ndarray | pa.Array]:
         lines, value, chars, minima = [], [], [], []
         for p in payloads:
             *arrays, at = common.unpack_arrays_at(p)
@@ -277,26 +310,26 @@ def _second_pass(per_table: int, similarity: float):
         own = [np.concatenate(x)[once] for x in (lines, value, minima, chars)]
         kind, number = divmod(table, DEALT)
         a, b, agree = near_links(*own[:3], own[3].astype(np.int64), number, similarity, CLASSES[kind][1])
-        return [np.minimum(a, b), np.maximum(a, b), agree.astype(np.int32)]
+        return [np.minimum(a, b), np.maximum(a, b), agree.astype(np.int32), _groups(a, b)]
 
     def run(key: tuple[Any, ...], group: pa.Table) -> pa.Table:
         payloads = group["payload"].to_pylist()
         kind, number = key[0].as_py(), key[1].as_py()
         if kind == _BLOCK:
-            columns = [pa.nulls(1, k) for k in kinds[:6]] + [pa.array([number]), *(pa.nulls(1, k) for k in kinds[7:9]), pa.array(payloads, pa.binary())]
+            columns = [pa.nulls(1, k) for k in kinds[:6]] + [pa.array([number]), *(pa.nulls(1, k) for k in kinds[7:9]), pa.array(payloads, pa.binary()), pa.nulls(1, kinds[10])]
         elif kind == _TABLE:
-            found = links(number // per_table, payloads)
-            columns = [pa.array(x) for x in found] + [pa.nulls(len(found[0]), k) for k in kinds[3:]]
+            *found, team = links(number // per_table, payloads)
+            columns = [pa.array(x) for x in found] + [pa.nulls(len(team), k) for k in kinds[3:10]] + [team]
         elif kind == _AGAIN:
             again = common.unpack_arrays(payloads[0])[0].reshape(-1, 2)
             n = len(again)
-            columns = [pa.nulls(n, k) for k in kinds[:6]] + [pa.array(np.full(n, number)), pa.array(again[:, 0]), pa.array(again[:, 1]), pa.nulls(n, pa.binary())]
+            columns = [pa.nulls(n, k) for k in kinds[:6]] + [pa.array(np.full(n, number)), pa.array(again[:, 0]), pa.array(again[:, 1]), *(pa.nulls(n, k) for k in kinds[9:])]
         else:
             own = np.frombuffer(b"".join(payloads), _PLACE)
             own = own[np.lexsort([own[c] for c in ("number", "ordinal", "block", "doc_id", "late", "line")])]
             again = np.r_[False, own["line"][1:] == own["line"][:-1]]
             place = [pa.array(np.ascontiguousarray(own[c])).cast(k) for c, k in zip(_PLACE.names[1:], kinds[4:9], strict=True)]
-            columns = [pa.nulls(len(own), k) for k in kinds[:3]] + [pa.array(np.ascontiguousarray(own["line"]), mask=again), *place, pa.nulls(len(own), pa.binary())]
+            columns = [pa.nulls(len(own), k) for k in kinds[:3]] + [pa.array(np.ascontiguousarray(own["line"]), mask=again), *place, *(pa.nulls(len(own), k) for k in kinds[9:])]
         common.release()
         return pa.Table.from_arrays(columns, schema=out)
 
@@ -304,8 +337,8 @@ def _second_pass(per_table: int, similarity: float):
 
 
 def _fetch():
-    """A block and the places asked of it -> the normalised texts, for the buckets that asked."""
-    out = pa.schema([("bucket", pa.int64()), ("line", pa.int64()), ("text", pa.string())])
+    """A block and the places asked of it -> the normalised texts, for the buckets that asked; ``once`` marks one row a line."""
+    out = pa.schema([("bucket", pa.int64()), ("line", pa.int64()), ("text", pa.string()), ("once", pa.bool_())])
 
     def run(key: tuple[Any, ...], group: pa.Table, asked: pa.Table) -> pa.Table:
         if not group.num_rows or not asked.num_rows:
@@ -318,7 +351,9 @@ def _fetch():
             if doc not in cut:
                 cut[doc] = normal_lines(block.data[edge[doc] : edge[doc + 1]])
             texts.append(cut[doc][spot].decode("utf-8", "replace"))
-        return pa.Table.from_arrays([asked["bucket"].combine_chunks(), asked["line"].combine_chunks(), pa.array(texts, pa.string())], schema=out)
+        once = np.zeros(len(texts), bool)
+        once[np.unique(asked["line"].to_numpy(), return_index=True)[1]] = True
+        return pa.Table.from_arrays([asked["bucket"].combine_chunks(), asked["line"].combine_chunks(), pa.array(texts, pa.string()), pa.array(once)], schema=out)
 
     return run
 
@@ -341,6 +376,61 @@ def _verify(similarity: float):
     return run
 
 
+def _between(cell: np.ndarray, team: np.ndarray, sketch: list[np.ndarray], chars: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Candidate links (a, b, minima that agree) between lines of one cell and different teams; lines ascend by cell, then
+    length."""
+    limit = (chars * (1 - similarity) + 1e-9).astype(np.int64)
+    high = np.searchsorted((cell << 32) + chars - limit, (cell << 32) + chars, side="right")
+    size = high - np.arange(len(cell)) - 1
+    edge, at = np.cumsum(size), 0
+    while at < len(cell):
+        end = max(at + 1, int(np.searchsorted(edge, (edge[at - 1] if at else 0) + _PAIRS, side="right")))
+        a, b = np.repeat(np.arange(at, end), size[at:end]), ragged(np.arange(at + 1, end + 1), size[at:end])
+        at = end
+        apart = team[a] != team[b]
+        a, b = a[apart], b[apart]
+        for minima, (_, agreeing, least, most) in zip(sketch, CLASSES, strict=True):
+            own = np.flatnonzero((chars[a] >= least) & (chars[b] < most))
+            count = _agree(minima, a[own], b[own])
+            close = count >= agreeing
+            yield a[own[close]], b[own[close]], count[close]
+
+
+def _search(similarity: float):
+    """A bucket's groups and texts -> links between the teams of a group's lines, by the teams' names."""
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(key: tuple[Any, ...], members: pa.Table, texts: pa.Table) -> pa.Table:
+        if not members.num_rows:
+            return out.empty_table()
+        known, at = np.unique(texts["line"].to_numpy(), return_index=True)
+        every = texts["text"].to_pylist()
+        held = Texts([every[k] for k in at.tolist()])
+        cell = np.unique(members["cell"].to_numpy(), return_inverse=True)[1].astype(np.int64)
+        line, team = np.searchsorted(known, members["line"].to_numpy()), members["root"].to_numpy()
+        order = np.lexsort([held.size[line], cell])
+        cell, line, team = cell[order], line[order], team[order]
+        sketch = []
+        for gram, _, least, most in CLASSES:
+            own = np.flatnonzero((held.size >= least) & (held.size < most))
+            minima = np.zeros((len(known), HASHES), np.uint8)
+            if len(own):
+                minima[own] = sketches([held.texts[k].encode() for k in own.tolist()], gram).astype(np.uint8)
+            sketch.append(minima[line])
+        names, which = np.unique(team, return_inverse=True)
+        root, good = np.arange(len(names)), []
+        for a, b, agree in _between(cell, team, sketch, held.size[line], similarity):
+            if len(a):
+                picked = held.forest(line[a], line[b], agree, similarity, root, which[a], which[b])
+                good.append(np.stack([which[a[picked]], which[b[picked]]]))
+                root = _union(root, *good[-1])
+        common.release()
+        x, y = np.concatenate([np.empty((2, 0), np.int64), *good], axis=1)
+        return pa.Table.from_arrays([pa.array(names[x]), pa.array(names[y])], schema=out)
+
+    return run
+
+
 def _finish(with_text: bool, schema: pa.Schema):
     """A block and the places that go -> its documents without them."""
 
@@ -381,6 +471,21 @@ def _in_buckets(links: DataFrame, buckets: int, most: int) -> DataFrame:
     return dealt.select(F.pmod(F.xxhash64("least", "share"), F.lit(buckets)).alias("bucket"), "a", "b", "agree")
 
 
+def _open_groups(near: DataFrame, links: DataFrame, groups: DataFrame, buckets: int, most: int) -> DataFrame:
+    """The lines (bucket, cell, line, root) of groups whose links did not all hold.  All pairs of a group meet in one of
+    its cells, which hold at most ``most`` lines or so."""
+    end = lambda c: groups.select(F.col("line").alias(c), F.col("team").alias(f"{c}_team"))
+    failed = links.join(end("a"), "a", "left").join(end("b"), "b", "left").where("coalesce(a_team, a) <> coalesce(b_team, b)").select("a", "b")
+    named = near.where("team is not null").select(F.col("team").alias("group"), "a", "b")
+    open_ = named.join(failed, ["a", "b"]).select("group").distinct()
+    lines = named.join(open_, "group").select("group", F.explode(F.array("a", "b")).alias("line")).distinct()
+    n = F.count("*").over(W.partitionBy("group"))
+    shares = lines.withColumn("shares", F.when(n > most, F.ceil(2 * n / most)).otherwise(1)).withColumn("share", F.pmod(F.xxhash64("line"), F.col("shares")))
+    other = F.explode(F.when(F.col("shares") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1), lambda x: x != F.col("share"))))
+    celled = shares.withColumn("other", other).withColumn("cell", F.xxhash64("group", F.least("share", "other"), F.greatest("share", "other")))
+    return celled.join(groups, "line", "left").select(F.pmod("cell", F.lit(buckets)).alias("bucket"), "cell", "line", F.coalesce("team", "line").alias("root"))
+
+
 def _dedup(texts: DataFrame, similarity: float, min_words: int, with_text: bool, buckets: int | None, block_bytes: int, most: int) -> DataFrame:
     spark = texts.sparkSession
     ensure_checkpoint_dir(spark)
@@ -390,16 +495,24 @@ def _dedup(texts: DataFrame, similarity: float, min_words: int, with_text: bool,
     # one pass over the texts; what it leaves, compressed blocks included, is saved for the passes that follow
     packed = texts.mapInArrow(_first_pass(min_words, block_bytes, per_table, n), common.PACKED).repartition(parts, "kind", "key")
     found = common.saved(packed.groupBy("kind", "key").applyInArrow(_second_pass(per_table, similarity), _FOUND))
-    links = common.saved(_in_buckets(common.saved(found.where("a is not null").select("a", "b", "agree").distinct()), parts, most))
+    near = found.where("a is not null").select("a", "b", "agree", "team")
+    links = common.saved(_in_buckets(common.saved(near.select("a", "b", "agree").distinct()), parts, most))
     ends = links.select("bucket", F.explode(F.array("a", "b")).alias("line")).distinct()
     # the first places of the lines that have links
     first = found.where("line is not null").select("line", F.struct("late", "doc_id", "block", "ordinal", "number").alias("first"))
     linked = common.saved(first.join(ends.select("line").distinct(), "line"))
     grouped = found.where("payload is not null").select(F.lit(_BLOCK).alias("kind"), F.col("block").alias("key"), "payload").repartition(parts, "kind", "key").groupBy("kind", "key")
     asked = ends.join(linked, "line").select(F.lit(_BLOCK).alias("kind"), F.col("first.block").alias("key"), "bucket", "line", "first.ordinal", "first.number")
-    fetched = grouped.cogroup(asked.groupBy("kind", "key")).applyInArrow(_fetch(), "bucket long, line long, text string")
-    verified = links.groupBy("bucket").cogroup(fetched.groupBy("bucket")).applyInArrow(_verify(similarity), "a long, b long")
-    groups = connected(verified).select(F.col("node").alias("line"), F.col("root").alias("team"))
+    fetched = common.saved(grouped.cogroup(asked.groupBy("kind", "key")).applyInArrow(_fetch(), "bucket long, line long, text string, once boolean"))
+    verified = links.groupBy("bucket").cogroup(fetched.select("bucket", "line", "text").groupBy("bucket")).applyInArrow(_verify(similarity), "a long, b long")
+    groups = common.saved(connected(verified).select(F.col("node").alias("line"), F.col("root").alias("team")))
+    # groups that fell apart: what else connects their lines
+    again = common.saved(_open_groups(near, links, groups, parts, most))
+    needed = again.select(F.col("bucket").alias("to"), "line").distinct().join(fetched.where("once").select("line", "text"), "line").select(F.col("to").alias("bucket"), F.col("line").alias("line"), "text")
+    more = again.groupBy("bucket").cogroup(needed.groupBy("bucket")).applyInArrow(_search(similarity), "a long, b long")
+    joined = common.saved(connected(more).select(F.col("node").alias("team"), F.col("root").alias("whole")))
+    alone = joined.join(groups, joined["team"] == groups["line"], "left_anti").select(F.col("team").alias("line"), F.col("whole").alias("team"))
+    groups = groups.join(joined, "team", "left").select("line", F.coalesce("whole", "team").alias("team")).unionAll(alone)
     # of a group's first places all but the very first go; of a line's places all but its first went already
     teamed = linked.join(groups, "line")
     kept = teamed.groupBy("team").agg(F.min("first").alias("keep"))
