@@ -396,6 +396,17 @@ def _between(cell: np.ndarray, team: np.ndarray, sketch: list[np.ndarray], chars
             yield a[own[close]], b[own[close]], count[close]
 
 
+def _first_common(wide: np.ndarray, used: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first of the names in row a[k] that row b[k] has too; rows ascend."""
+    out, open_ = np.zeros(len(a), np.int64), np.ones(len(a), bool)
+    for k in range(wide.shape[1]):
+        name = wide[a, k]
+        hit = open_ & used[a, k] & ((wide[b] == name[:, None]) & used[b]).any(axis=1)
+        out[hit] = name[hit]
+        open_ &= ~hit
+    return out
+
+
 def _search(similarity: float):
     """A bucket's groups and texts -> links between the teams of a group's lines, by the teams' names."""
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -410,6 +421,11 @@ def _search(similarity: float):
         line, team = np.searchsorted(known, members["line"].to_numpy()), members["root"].to_numpy()
         order = np.lexsort([held.size[line], cell])
         cell, line, team = cell[order], line[order], team[order]
+        group, held_by = members["group"].to_numpy()[order], members["groups"].to_pylist()
+        wide = np.zeros((len(line), max(map(len, held_by))), np.int64)
+        for k, at_ in enumerate(order.tolist()):
+            wide[k, : len(held_by[at_])] = held_by[at_]
+        used = np.arange(wide.shape[1]) < np.array([len(held_by[k]) for k in order.tolist()])[:, None]
         sketch = []
         for gram, _, least, most in CLASSES:
             own = np.flatnonzero((held.size >= least) & (held.size < most))
@@ -420,6 +436,8 @@ def _search(similarity: float):
         names, which = np.unique(team, return_inverse=True)
         root, good = np.arange(len(names)), []
         for a, b, agree in _between(cell, team, sketch, held.size[line], similarity):
+            own = _first_common(wide, used, a, b) == group[a]  # two lines meet in several groups and are compared in one
+            a, b, agree = a[own], b[own], agree[own]
             if len(a):
                 picked = held.forest(line[a], line[b], agree, similarity, root, which[a], which[b])
                 good.append(np.stack([which[a[picked]], which[b[picked]]]))
@@ -472,7 +490,7 @@ def _in_buckets(links: DataFrame, buckets: int, most: int) -> DataFrame:
 
 
 def _open_groups(near: DataFrame, links: DataFrame, groups: DataFrame, buckets: int, most: int) -> DataFrame:
-    """The lines (bucket, cell, line, root) of groups whose links did not all hold.  All pairs of a group meet in one of
+    """The lines (bucket, cell, line, root, group, all groups of the line) of groups whose links did not all hold.  All pairs of a group meet in one of
     its cells, which hold at most ``most`` lines or so."""
     end = lambda c: groups.select(F.col("line").alias(c), F.col("team").alias(f"{c}_team"))
     failed = links.join(end("a"), "a", "left").join(end("b"), "b", "left").where("coalesce(a_team, a) <> coalesce(b_team, b)").select("a", "b")
@@ -480,10 +498,11 @@ def _open_groups(near: DataFrame, links: DataFrame, groups: DataFrame, buckets:
     open_ = named.join(failed, ["a", "b"]).select("group").distinct()
     lines = named.join(open_, "group").select("group", F.explode(F.array("a", "b")).alias("line")).distinct()
     n = F.count("*").over(W.partitionBy("group"))
+    lines = lines.withColumn("groups", F.sort_array(F.collect_set("group").over(W.partitionBy("line"))))
     shares = lines.withColumn("shares", F.when(n > most, F.ceil(2 * n / most)).otherwise(1)).withColumn("share", F.pmod(F.xxhash64("line"), F.col("shares")))
     other = F.explode(F.when(F.col("shares") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1), lambda x: x != F.col("share"))))
     celled = shares.withColumn("other", other).withColumn("cell", F.xxhash64("group", F.least("share", "other"), F.greatest("share", "other")))
-    return celled.join(groups, "line", "left").select(F.pmod("cell", F.lit(buckets)).alias("bucket"), "cell", "line", F.coalesce("team", "line").alias("root"))
+    return celled.join(groups, "line", "left").select(F.pmod("cell", F.lit(buckets)).alias("bucket"), "cell", "line", F.coalesce("team", "line").alias("root"), "group", "groups")
 
 
 def _dedup(texts: DataFrame, similarity: float, min_words: int, with_text: bool, buckets: int | None, block_bytes: int, most: int) -> DataFrame:
