@@ -312,3 +312,72 @@ def test_links_of_a_group_grow_with_its_size():
     minima = line_dedup.sketches(lines, 8)
     a, b, _ = line_dedup.near_links(np.arange(600), minima[:, 0], minima.astype(np.uint8), np.array([len(x) for x in lines]), 0, 0.8, 8)
     assert 0 < len(a) < 600
+
+
+def test_lags_drop_no_candidate():
+    """The links kept connect exactly what all candidate pairs connect, in runs far longer than the lags too."""
+    rng = np.random.default_rng(7)
+    for n, noise in ((300, 0.3), (500, 0.55), (700, 0.65)):
+        base = rng.integers(0, 1 << 32, (2, line_dedup.HASHES), dtype=np.uint64).astype(np.uint32)
+        minima = base[rng.integers(0, 2, n)]
+        off = rng.random(minima.shape) < noise * rng.random((n, 1)) * 1.5
+        minima[off] = rng.integers(0, 1 << 32, int(off.sum()), dtype=np.uint64).astype(np.uint32)
+        value = minima[:, 2] = np.where(rng.random(n) < 0.9, 5, 6)
+        short, chars, lines = minima.astype(np.uint8), rng.integers(100, 240, n), rng.permutation(n).astype(np.int64)
+        a, b, agree = line_dedup.near_links(lines, value.astype(np.uint32), short, chars, 2, 0.8, 8)
+        equal = short[:, None] == short[None]
+        pairs = [j for j in range(0, line_dedup.HASHES, 2) if j != 2]
+        near = equal.sum(axis=2) >= 8
+        near &= (value[:, None] == value[None]) & np.any([equal[:, :, j] & equal[:, :, j + 1] for j in pairs], axis=0)
+        longer = np.maximum(chars[:, None], chars[None])
+        near &= np.abs(chars[:, None] - chars[None]) <= (longer * 0.2 + 1e-9).astype(int)
+        x, y = np.nonzero(np.triu(near, 1))
+        root = line_dedup._union(np.arange(n), lines[x], lines[y])
+        assert (line_dedup._union(np.arange(n), a, b) == root).all() and len(a) == n - len(set(root.tolist())) > 0
+        runs = [np.unique(np.c_[value, minima[:, j : j + 2]], axis=0, return_counts=True)[1].max() for j in pairs]
+        assert max(runs) > 2 * line_dedup.LAGS
+        place = np.argsort(lines)
+        assert near[place[a], place[b]].all() and (agree == equal.sum(axis=2)[place[a], place[b]]).all()
+
+
+def test_many_pairs_by_rows(monkeypatch):
+    """Rows by 64 for all pairs, however few are left, give what single pairs give; nothing is compared one by one."""
+    rng = random.Random(21)
+    monkeypatch.setattr(edit_distance, "_ALONE", 0)
+    size = [1, 5, 63, 64, 65, 128, 129, 200, 300]
+    a = ["".join(rng.choice("abcdé語 ") for _ in range(rng.choice(size))) for _ in range(150)]
+    b = ["".join(rng.choice(["", c, c, c, c, c + "x", "ab"]) for c in t) or "y" for t in a]
+    b[:40] = ["q" * 40 + t for t in a[:40]]  # apart only at the beginning
+    b[40:60] = a[80:100]
+    limits = np.array([int(rng.choice([0, 0.05, 0.2, 0.5, 1]) * max(len(x), len(y))) for x, y in zip(a, b, strict=True)])
+    want = [levenshtein(x, y) <= z for x, y, z in zip(a, b, limits.tolist(), strict=True)]
+    monkeypatch.setattr(edit_distance, "_distance", None)
+    assert edit_distance.within_many(a, b, limits).tolist() == want and 20 < sum(want) < 130
+
+
+def test_unlike_pairs_end_after_few_rows(monkeypatch):
+    """Pairs that share a passage only, as in groups of candidates that fall apart, are told apart without all their cells."""
+    rng = random.Random(22)
+    say = lambda k: " ".join(rng.choice(["de", "la", "aux", "que", "tion", "ent", "sch", "ber", "that", "in"]) for _ in range(k))
+    passage = say(60)
+    texts = [f"{say(50)} {passage} {say(50)}" for _ in range(200)]
+    steps = []
+    monkeypatch.setattr(edit_distance, "_ALONE", 0, raising=False)
+    real = np.take
+    monkeypatch.setattr(edit_distance.np, "take", lambda table, place, **k: steps.append(place.size) or real(table, place, **k))
+    limits = np.array([int(0.2 * max(len(x), len(y))) for x, y in zip(texts[:100], texts[100:], strict=True)])
+    assert not edit_distance.within_many(texts[:100], texts[100:], limits).any()
+    assert sum(steps) < 0.5 * sum(-(-len(x) // 64) * len(y) for x, y in zip(texts[:100], texts[100:], strict=True))
+
+
+def test_partners_far_apart_in_a_run_are_found():
+    """One run of 200 lines, in which each has its only partner 100 places away."""
+    rng = np.random.default_rng(8)
+    minima = rng.integers(0, 1 << 32, (200, line_dedup.HASHES), dtype=np.uint64).astype(np.uint32)
+    minima[:, [2, 4, 5]] = 9
+    minima[100:, 20:] = minima[:100, 20:]
+    minima = minima.astype(np.uint8)
+    minima[:, 6:20] = np.arange(200, dtype=np.uint8)[:, None]  # nothing else is equal
+    lines = np.arange(200)
+    a, b, agree = line_dedup.near_links(lines, np.full(200, 9, np.uint32), minima, 1000 + lines, 2, 0.8, 12)
+    assert sorted(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)) == [(k, k + 100) for k in range(100)] and (agree >= 15).all()

@@ -13,8 +13,9 @@ from collections import Counter
 import numpy as np
 
 LONG = 4096  # characters from which pairs are compared one by one, an alignment at unique words first
-BATCH, FEW = 1024, 12  # pairs compared at once, and how many are worth it
-_CELLS = 1 << 20  # pairs times columns at once
+BATCH = 2048  # pairs compared at once
+_ALONE = 12  # columns of one pair that take the time of a column of few pairs at once
+_CELLS = 1 << 21  # pairs times columns at once
 _TABLE = 1 << 22  # places of the table of rows by character
 _COUNTS = 8192  # pairs whose character counts are compared at once
 _ONE, _LAST = np.uint64(1), np.uint64(63)
@@ -22,6 +23,8 @@ _ONE, _LAST = np.uint64(1), np.uint64(63)
 
 def _trim(a: str, b: str) -> tuple[str, str]:
     """Both without their common beginning and end."""
+    if a and b and a[0] != b[0] and a[-1] != b[-1]:
+        return a, b
     n, m = 0, min(len(a), len(b))
     step = m
     while step:  # doubling back: whole slices compare at once
@@ -112,6 +115,8 @@ _SKIPS = ((1, 1), (0, 1), (1, 0), (2, 2), (1, 2), (2, 1), (0, 2), (2, 0), (3, 3)
 def _words_within(a: str, b: str, limit: int) -> bool:
     """Whether an alignment of words in one sweep needs at most limit edits; if not, the distance may still be less."""
     x, y = a.split(" "), b.split(" ")
+    if sum(map(len, set(x).difference(y))) > limit:  # every word that the other lacks is an edit of its length
+        return False
     n, m, i, j, cost = len(x), len(y), 0, 0, 0
     while i < n and j < m:
         if x[i] == y[j]:
@@ -172,86 +177,92 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
 def within_many(a: list[str], b: list[str], limits: np.ndarray) -> np.ndarray:
     """Whether the edit distance of a[k] and b[k] is at most limits[k], for each k; no text is empty.
 
-    Each a[k] is cut into words of 64 rows.  In step t, word w of every pair takes column t - w, so that its
-    neighbour's carry is there, and one array operation serves all words of all pairs."""
-    pairs = len(a)
-    m, n = (np.fromiter(map(len, x), np.int64, pairs) for x in (a, b))
-    flat, start, alphabet = _codes([*a, *b])
-    words, last = int(-(-m.max() // 64)), (m - 1) // 64
-    if words * (alphabet + 1) * pairs > _TABLE and pairs > 1:
-        half = pairs // 2
-        return np.concatenate([within_many(a[:half], b[:half], limits[:half]), within_many(a[half:], b[half:], limits[half:])])
-    ends = n + last  # steps until a pair is done
-    order = np.argsort(ends, kind="stable")
-    m, n, last, ends, limit, start_a, start_b = m[order], n[order], last[order], ends[order], limits[order], start[:pairs][order], start[pairs:][order]
-    lane, out = np.arange(pairs), np.zeros(pairs, bool)
-    where = np.zeros((words, alphabet + 1, pairs), np.uint64)  # rows of each code; none for the last
-    table = where.reshape(-1)
-    for i in range(int(m.max())):
-        has = np.flatnonzero(m > i)
-        table[((i >> 6) * (alphabet + 1) + flat[start_a[has] + i]) * pairs + has] |= _ONE << np.uint64(i & 63)
-    # codes of b by step, as places in the table of the first word
-    wide = int(n.max())
-    column = np.full((wide + 2 * words, pairs), alphabet, np.int64)
-    for j in range(wide):
-        has = np.flatnonzero(n > j)
-        column[words - 1 + j, has] = flat[start_b[has] + j]
-    column = column * pairs + lane
-    shift = (np.arange(words) * ((alphabet + 1) * pairs))[:, None]
-    plus, minus = np.full((words, pairs), ~np.uint64(0)), np.zeros((words, pairs), np.uint64)
-    in_plus, in_minus = np.zeros((words, pairs), np.uint64), np.zeros((words, pairs), np.uint64)
-    in_plus[0] = 1
-    score, top = m.copy(), ((m - 1) & 63).astype(np.uint64)
-    spot = last * pairs + np.arange(pairs)
-    place = np.empty((words, pairs), np.int64)
-    eq, zero, up, vertical = (np.empty((words, pairs), np.uint64) for _ in range(4))
-    done = 0
-    for t in range(int(ends[-1])):
-        np.add(column[t : t + words][::-1], shift, out=place)
-        np.take(table, place, out=eq, mode="clip")
-        np.bitwise_or(eq, minus, out=vertical)
-        eq |= in_minus
-        np.bitwise_and(eq, plus, out=zero)
-        zero += plus
-        zero ^= plus
-        zero |= eq
-        np.bitwise_or(zero, plus, out=up)
-        np.invert(up, out=up)
-        up |= minus
-        down = np.bitwise_and(plus, zero, out=zero)
-        score += (up.reshape(-1)[spot] >> top & _ONE).view(np.int64)
-        score -= (down.reshape(-1)[spot] >> top & _ONE).view(np.int64)
-        carry_plus, carry_minus = up[:-1] >> _LAST, down[:-1] >> _LAST
-        up <<= _ONE
-        up |= in_plus
-        down <<= _ONE
-        down |= in_minus
-        in_plus[1:], in_minus[1:] = carry_plus, carry_minus
-        np.bitwise_or(vertical, up, out=plus)
-        np.invert(plus, out=plus)
-        plus |= down
-        np.bitwise_and(up, vertical, out=minus)
-        to = int(np.searchsorted(ends, t + 1, side="right"))
-        if to > done:
-            out[lane[done:to]] = score[done:to] <= limit[done:to]
-            done = to
-        if t & 31 == 31 or done == len(ends):
-            # the rest lowers a score by one a column at most
-            keep = score - np.minimum(n, ends - t - 1) <= limit
-            keep[:done] = False
-            if 4 * keep.sum() <= 3 * len(keep):
-                lane, last, ends, limit, n, score, top = (x[keep] for x in (lane, last, ends, limit, n, score, top))
-                if not len(lane):
-                    break
-                plus, minus, in_plus, in_minus = (np.ascontiguousarray(x[:, keep]) for x in (plus, minus, in_plus, in_minus))
-                column = np.ascontiguousarray(column[:, keep])
-                spot = last * len(lane) + np.arange(len(lane))
-                place = np.empty((words, len(lane)), np.int64)
-                eq, zero, up, vertical = (np.empty((words, len(lane)), np.uint64) for _ in range(4))
-                done = 0
-    final = np.empty(pairs, bool)
-    final[order] = out
-    return final
+    64 rows (characters of a) of all pairs go through the columns that a path of at most the limit can reach, then the next
+    64.  Such a path crosses the last of these rows somewhere: where the least that this costs, and the lengths that then
+    remain, are over the limit, the pair is done.  Cells beside those columns count as more than they are, never as less."""
+    out = np.zeros(len(a), bool)
+    m, n = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    own = np.flatnonzero(np.abs(m - n) <= limits)
+    if not len(own):
+        return out
+    flat, start, alphabet = _codes([x[k] for x in (a, b) for k in own.tolist()])
+    if (alphabet + 1) * len(own) > _TABLE and len(own) > 1:
+        for part in (own[: len(own) // 2], own[len(own) // 2 :]):
+            out[part] = within_many([a[k] for k in part.tolist()], [b[k] for k in part.tolist()], limits[part])
+        return out
+    m, n, limit, start_a, start_b = m[own], n[own], limits[own], start[: len(own)], start[len(own) :]
+    flat = np.r_[flat, alphabet]  # the code of no character
+    most, wide = int(limit.max()), int(n.max())
+    # for the columns so far, the characters of b, and how the row above changes from column to column
+    text, plus_in, minus_in = np.empty((0, len(own)), np.int64), np.empty((0, len(own)), np.uint64), np.empty((0, len(own)), np.uint64)
+    corner, from_, to = np.zeros(len(own), np.int32), 0, 0  # the distance in the row above, left of the first column
+    for row in range(0, int(m.max()), 64):
+        if int(n.sum()) < _ALONE * (64 + 2 * most) * min(4, -(-(int(m.max()) - row) // 64)):  # few are faster one by one
+            out[own] = [_distance(a[k], b[k], z) <= z for k, z in zip(own.tolist(), limit.tolist(), strict=True)]
+            break
+        pairs, before, to = len(own), to, min(wide, row + 64 + most)
+        column = np.arange(before, to)[:, None]
+        text = np.concatenate([text, flat[np.where(column < n, start_b + column, -1)]])
+        plus_in, minus_in = np.concatenate([plus_in, np.ones((to - before, pairs), np.uint64)]), np.concatenate([minus_in, np.zeros((to - before, pairs), np.uint64)])
+        rows = np.arange(row, row + 64)[:, None]
+        code = flat[np.where(rows < m, start_a + rows, -1)]
+        lane = np.arange(pairs)
+        where = np.zeros((alphabet + 1) * pairs, np.uint64)  # rows of each code
+        for i in range(64):
+            where[code[i] * pairs + lane] |= _ONE << np.uint64(i)
+        where[alphabet * pairs :] = 0
+        top = np.minimum(m - row - 1, 63).astype(np.uint64)
+        plus, minus = np.full(pairs, ~np.uint64(0)), np.zeros(pairs, np.uint64)
+        place = text * pairs + lane
+        eq, zero, up, vertical = (np.empty(pairs, np.uint64) for _ in range(4))
+        for t in range(len(text)):
+            in_plus, in_minus = plus_in[t], minus_in[t]
+            np.take(where, place[t], out=eq, mode="clip")
+            np.bitwise_or(eq, minus, out=vertical)
+            eq |= in_minus
+            np.bitwise_and(eq, plus, out=zero)
+            zero += plus
+            zero ^= plus
+            zero |= eq
+            np.bitwise_or(zero, plus, out=up)
+            np.invert(up, out=up)
+            up |= minus
+            down = np.bitwise_and(plus, zero, out=zero)
+            np.right_shift(up, top, out=eq)
+            up <<= _ONE
+            up |= in_plus
+            np.bitwise_and(eq, _ONE, out=in_plus)
+            np.right_shift(down, top, out=eq)
+            down <<= _ONE
+            down |= in_minus
+            np.bitwise_and(eq, _ONE, out=in_minus)
+            np.bitwise_or(vertical, up, out=plus)
+            np.invert(plus, out=plus)
+            plus |= down
+            np.bitwise_and(up, vertical, out=minus)
+        height = np.minimum(m, row + 64)
+        score = np.empty((to - from_ + 1, pairs), np.int32)  # of the last row
+        score[0] = corner + height - row
+        np.subtract(plus_in.view(np.int64), minus_in.view(np.int64), out=score[1:], casting="unsafe")
+        np.cumsum(score, axis=0, out=score)
+        ends = m <= row + 64
+        done = np.flatnonzero(ends)
+        out[own[done]] = score[n[done] - from_, done] <= limit[done]
+        edge = np.arange(from_, to + 1, dtype=np.int32)[:, None]
+        left = np.abs((m - height - n).astype(np.int32) + edge)
+        left += score
+        left[edge > n] = np.iinfo(np.int32).max
+        keep = np.flatnonzero(~ends & (left.min(axis=0) <= limit))
+        if not len(keep):
+            break
+        next_ = max(0, row + 64 - most)
+        corner = score[next_ - from_]
+        text, plus_in, minus_in = (x[next_ - from_ :] for x in (text, plus_in, minus_in))
+        from_ = next_
+        if len(keep) < pairs:
+            own, m, n, limit, start_a, start_b, corner = (x[keep] for x in (own, m, n, limit, start_a, start_b, corner))
+            text, plus_in, minus_in = (x.take(keep, axis=1) for x in (text, plus_in, minus_in))
+    return out
 
 
 class Texts:
@@ -291,18 +302,15 @@ class Texts:
             elif _words_within(p, q, most):
                 out[k] = True
             else:
-                hard.append((len(q), k, p, q))
+                hard.append((most, k, p, q))
         hard.sort(key=lambda h: h[:2])
         at = 0
         while at < len(hard):
-            end = min(len(hard), at + BATCH)
-            while end - at > 1 and (end - at) * hard[end - 1][0] > _CELLS:
+            end = at + bisect.bisect_right(hard[at : at + BATCH], hard[at][0] * 5 // 4 + 16, key=lambda h: h[0])
+            while end - at > 1 and (end - at) * max(len(h[3]) for h in hard[at:end]) > _CELLS:
                 end = at + (end - at) // 2
             _, k, p, q = (list(x) for x in zip(*hard[at:end], strict=True))
-            if len(k) < FEW:
-                out[k] = [_distance(x, y, z) <= z for x, y, z in zip(p, q, limit[k].tolist(), strict=True)]
-            else:
-                out[k] = within_many(p, q, limit[k])
+            out[k] = within_many(p, q, limit[k])
             at = end
         return out
 
