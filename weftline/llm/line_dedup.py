@@ -11,7 +11,7 @@ The sketch is not the SimHash of the method's name: 64 SimHash bits of lines at
 and more places, and pigeonhole blocks for such a radius hold under six bits, which all lines share.  A
 sketch is ``HASHES`` minima over hashed grams, of 5 bytes for short lines and 8 for longer ones; lines near the
 border have both (``CLASSES``).  A line is dealt by each of its first ``DEALT`` minima, the blocks; lines that
-share one and two more are candidates if enough minima are equal.  The search is not exact (the README has the measured recall); what it finds is verified.
+share one and two neighbours (2j, 2j + 1) of the others are candidates if enough minima are equal.  The search is not exact (the README has the measured recall); what it finds is verified.
 
 How it runs: blocks of documents (see ``common``) reduce their lines to distinct ones; only hashes,
 sketches and places are sent, in one exchange.  Tasks that hold the lines of some minima return, for each group that
@@ -197,8 +197,8 @@ def _union(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def near_links(lines: np.ndarray, value: np.ndarray, minima: np.ndarray, chars: np.ndarray, table: int, similarity: float, agreeing: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate links are those (a, b, minima that agree) between lines that share a value and two more minima, as far as
-    enough minima agree.  Returned are, of each group of lines that they connect, the strongest that connect it.
+    """Candidate links are those (a, b, minima that agree) between lines that share a value and two neighbours (2j, 2j + 1) of
+    the other minima, as far as enough minima agree.  Returned are, of each group of lines that they connect, the strongest that connect it.
 
     A line meets the ``LAGS`` lines before it in order of length, but for those that links of ``STRONG`` equal
     minima connect with it already; what is left apart of a longer run is compared with all of the run."""
